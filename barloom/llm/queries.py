@@ -8,8 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination, items_digest
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
+from .packing import pack_documents
 from .sharding import shard_documents
+from .training_order import read_training_order, write_training_order
+from .warc import read_warc, write_warc
+
+
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_training_order(write_training_order(table(spark, sf_dir, "documents")))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        items_digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def op3_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +34,19 @@ def op3_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), 2048)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_warc(write_warc(table(spark, sf_dir, "pages"), min_bytes=0), payloads=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -27,8 +57,40 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 10) AS n, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS s FROM bw),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS i, w FROM d, sizes WHERE len(w) >= n),
+occ AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM dw),
+hits AS (SELECT doc_id, i, n, item_id FROM occ JOIN win USING (n, s)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+       sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(x, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_training_order": op1_training_order,
+    "op2_decontamination": op2_decontamination,
     "op3_sampled_sharding": op3_sampled_sharding,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_html_extraction": op7_html_extraction,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc": op9_warc,
 }
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
