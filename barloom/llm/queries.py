@@ -12,7 +12,9 @@ from .decontaminate import contamination, items_digest
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .packing import pack_documents
+from .quality import classify_quality
 from .sharding import shard_documents
+from .toxicity import classify_toxicity
 from .training_order import read_training_order, write_training_order
 from .warc import read_warc, write_warc
 
@@ -38,6 +40,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), 2048)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -89,8 +99,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_sampled_sharding": op3_sampled_sharding,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_html_extraction": op7_html_extraction,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
