@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import shared_dir, text_of, written
 from .tokens import chunks, default_vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -135,4 +135,5 @@ def best_fit_pack(items: DataFrame, length_col: str, capacity: int) -> DataFrame
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per piece: PIECES, sequence_id, offset. A null or empty text is one piece of one id, 0."""
-    return best_fit_pack(token_pieces(docs, capacity, id_col, text_col, vocabulary), "length", capacity)
+    pieces = written(token_pieces(docs, capacity, id_col, text_col, vocabulary), "pieces")  # range-sorting reads its input twice
+    return best_fit_pack(pieces, "length", capacity)
