@@ -1,8 +1,8 @@
 """The registered queries over the driver's tables, with the DuckDB SQL that gives the same rows.
 
 Bars: hourly bars of events for each user (price: value, volume: the number of events), and daily bars of lineitem for each
-supplier bucket, so that several series run side by side, with prices in whole cents, so that sums are exact. Floats
-are rounded on both sides.
+supplier bucket, so that several series run side by side, with whole prices, so that sums are exact. Floats
+are cut to steps on both sides, off the halves that exact means often hit.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .operators.frame import BarFrame
 from .operators.timeframes import FRAMES, bars_of_ticks
 
-DIGITS = 6
+STEPS = 1e5
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def hourly(spark: SparkSession, sf_dir: str, frame: str = "1h") -> BarFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> BarFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        (F.col("l_suppkey") % 4).alias("sym"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"
+        (F.col("l_suppkey") % 4).alias("sym"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"
     )
-    bars = bars_of_ticks(rows, "1d", F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100), key=["sym"], tiebreak=["l_orderkey", "l_linenumber"], volume=F.col("l_quantity"))
+    bars = bars_of_ticks(rows, "1d", F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.37).cast("double"), key=["sym"], tiebreak=["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], volume=F.col("l_quantity"))
     return BarFrame(bars, ("sym",))
 
 
@@ -39,10 +39,15 @@ def ticks(spark: SparkSession, sf_dir: str) -> BarFrame:
     return BarFrame(events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz")), ("user_id",), "ts", ("event_id",))
 
 
+def cut(e: str, steps: float = STEPS) -> str:
+    """SQL: e in steps."""
+    return f"floor(CAST(({e}) AS DOUBLE) * {steps} + 0.37) / {steps}"
+
+
 HOURLY = """h AS (SELECT user_id, time_bucket(INTERVAL 1 hour, CAST(ts AS TIMESTAMP)) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
-DAILY = """t AS (SELECT l_suppkey % 4 AS sym, date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) AS ts, l_orderkey AS a, l_linenumber AS b, round(l_extendedprice / l_quantity * 100) AS p, l_quantity AS v FROM lineitem),
-d AS (SELECT sym, ts, arg_min(p, (a, b)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (a, b)) AS close, sum(v) AS volume FROM t GROUP BY 1, 2)"""
+DAILY = """t AS (SELECT l_suppkey % 4 AS sym, date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) AS ts, l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_extendedprice AS e, CAST(floor(l_extendedprice / l_quantity + 0.37) AS DOUBLE) AS p, l_quantity AS v FROM lineitem),
+d AS (SELECT sym, ts, arg_min(p, (a, b, c, e)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (a, b, c, e)) AS close, sum(v) AS volume FROM t GROUP BY 1, 2)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,19 +63,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(F.col(c), DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+def rounded(df: DataFrame, steps: float = STEPS) -> DataFrame:
+    return df.select(*((F.floor(F.col(c) * steps + 0.37) / steps).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
-def daily_query(name: str, directives: dict[str, str], sql: dict[str, str] | None, with_: str = "", source: str = "d") -> None:
+def daily_query(name: str, directives: dict[str, str], sql: dict[str, str] | None, with_: str = "", source: str = "d", steps: float = STEPS) -> None:
     """A query of directives over the daily bars; sql: the expression of each over window w (and names of with_)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = daily(spark, sf_dir).indicators(directives)
-        return rounded(made.df.select("sym", "ts", *directives))
+        return rounded(made.df.select("sym", "ts", *directives), steps)
 
     def cell(c: str, e: str) -> str:
-        return f"round(CAST({e} AS DOUBLE), {DIGITS}) AS {c}" if c[0] != "_" and not e.startswith("BOOL ") else f"{e.removeprefix('BOOL ')} AS {c}"
+        return f"{cut(e, steps)} AS {c}" if c[0] != "_" and not e.startswith("BOOL ") else f"{e.removeprefix('BOOL ')} AS {c}"
 
     text = None
     if sql:
@@ -95,7 +100,7 @@ def agg(f: str, x: str, n: int) -> str:
 
 @query(
     "bars_with_average",
-    f"WITH {HOURLY} SELECT user_id, ts, round(CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 END, 6) AS ma5, round(CASE WHEN count(*) OVER w20 = 20 THEN avg(close) OVER w20 + 2 * stddev_pop(close) OVER w20 END, 6) AS upper, "
+    f"WITH {HOURLY} SELECT user_id, ts, {cut('CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 END')} AS ma5, {cut('CASE WHEN count(*) OVER w20 = 20 THEN avg(close) OVER w20 + 2 * stddev_pop(close) OVER w20 END')} AS upper, "
     "close > CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 END AS above FROM h "
     "WINDOW w5 AS (PARTITION BY user_id ORDER BY ts ROWS 4 PRECEDING), w20 AS (PARTITION BY user_id ORDER BY ts ROWS 19 PRECEDING)",
 )
@@ -215,7 +220,7 @@ daily_query(
         "wad": f"sum(CASE WHEN close > b THEN close - least(b, low) WHEN close < b THEN close - greatest(b, high) ELSE 0 END) {_CUM}",
         "vr": f"CASE WHEN count(b) {over(26)} = 26 THEN 100 * (sum(CASE WHEN close > b THEN volume ELSE 0 END) {over(26)} + sum(CASE WHEN close = b THEN volume ELSE 0 END) {over(26)} / 2) / (sum(CASE WHEN close < b THEN volume ELSE 0 END) {over(26)} + sum(CASE WHEN close = b THEN volume ELSE 0 END) {over(26)} / 2) END",
     },
-    "e AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY ts) AS b FROM d)", "e",
+    "e AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY ts) AS b FROM d)", "e", 1e2,
 )
 daily_query(
     "ranges",
@@ -265,7 +270,7 @@ daily_query(
 s AS (SELECT sym, list(close ORDER BY ts) AS xs FROM d GROUP BY sym),
 rec AS (SELECT sym, 10 AS n, list_avg(xs[1:10]) AS e, list_avg(xs[1:10]) AS m FROM s WHERE len(xs) >= 10
   UNION ALL SELECT r.sym, r.n, rec.e + (r.close - rec.e) * 2 / 11, (rec.m * 9 + r.close) / 10 FROM rec JOIN r ON r.sym = rec.sym AND r.n = rec.n + 1)
-SELECT r.sym, r.ts, round(rec.e, {DIGITS}) AS ema10, round(rec.m, {DIGITS}) AS smma10 FROM r LEFT JOIN rec USING (sym, n)""".replace("WITH t AS", "WITH RECURSIVE t AS"),
+SELECT r.sym, r.ts, {cut('rec.e')} AS ema10, {cut('rec.m')} AS smma10 FROM r LEFT JOIN rec USING (sym, n)""".replace("WITH t AS", "WITH RECURSIVE t AS"),
 )
 def recursive_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = daily(spark, sf_dir).indicators({"ema10": "ema:10", "smma10": "smma:10"})
@@ -277,7 +282,7 @@ def recursive_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {DAILY}, r AS (SELECT *, row_number() OVER o AS n, close - lag(close) OVER o AS x, greatest(high - low, abs(lag(close) OVER o - high), abs(lag(close) OVER o - low)) AS tr FROM d WINDOW o AS (PARTITION BY sym ORDER BY ts)),
 rec AS (SELECT sym, 15 AS n, avg(greatest(x, 0)) AS u, avg(greatest(-x, 0)) AS v, avg(tr) AS a FROM r WHERE n BETWEEN 2 AND 15 GROUP BY sym HAVING count(*) = 14
   UNION ALL SELECT r.sym, r.n, (rec.u * 13 + greatest(r.x, 0)) / 14, (rec.v * 13 + greatest(-r.x, 0)) / 14, (rec.a * 13 + r.tr) / 14 FROM rec JOIN r ON r.sym = rec.sym AND r.n = rec.n + 1)
-SELECT r.sym, r.ts, round(CASE WHEN u + v = 0 THEN 0 ELSE 100 * u / (u + v) END, {DIGITS}) AS rsi14, round(a, {DIGITS}) AS atr14, round(100 * a / close, {DIGITS}) AS natr14 FROM r LEFT JOIN rec USING (sym, n)""".replace("WITH t AS", "WITH RECURSIVE t AS"),
+SELECT r.sym, r.ts, {cut('CASE WHEN u + v = 0 THEN 0 ELSE 100 * u / (u + v) END')} AS rsi14, {cut('a')} AS atr14, {cut('100 * a / close')} AS natr14 FROM r LEFT JOIN rec USING (sym, n)""".replace("WITH t AS", "WITH RECURSIVE t AS"),
 )
 def rsi_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = daily(spark, sf_dir).indicators({"rsi14": "rsi:14", "atr14": "atr:14", "natr14": "natr:14"})
@@ -321,11 +326,11 @@ for _kind, _count in (("recursive", 3), ("candlesticks", 4)):
 _W = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
-@query("shift_diff", f"SELECT user_id, ts, event_id, lag(value) OVER w AS shifted, round(value - lag(value, 2) OVER w, {DIGITS}) AS differed, lead(value) OVER w AS led FROM events WINDOW w AS ({_W})")
+@query("shift_diff", f"SELECT user_id, ts, event_id, lag(value) OVER w AS shifted, {cut('value - lag(value, 2) OVER w')} AS differed, lead(value) OVER w AS led FROM events WINDOW w AS ({_W})")
 def shift_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = ticks(spark, sf_dir)
     rows = f.assign(shifted=F.lag("value").over(f.w), differed=F.col("value") - F.lag("value", 2).over(f.w), led=F.lead("value").over(f.w))
-    return rows.df.select("user_id", "ts", "event_id", "shifted", F.round("differed", DIGITS).alias("differed"), "led")
+    return rows.df.select("user_id", "ts", "event_id", "shifted", (F.floor(F.col("differed") * STEPS + 0.37) / STEPS).alias("differed"), "led")
 
 
 def _surface(name: str, columns: Callable[[BarFrame], dict], sql: dict[str, str]) -> None:
@@ -333,7 +338,7 @@ def _surface(name: str, columns: Callable[[BarFrame], dict], sql: dict[str, str]
         f = ticks(spark, sf_dir)
         return rounded(f.df.select("user_id", "ts", "event_id", *(c.alias(n) for n, c in columns(f).items())))
 
-    cells = ", ".join(f"round({e}, {DIGITS}) AS {n}" for n, e in sql.items())
+    cells = ", ".join(f"{cut(e)} AS {n}" for n, e in sql.items())
     query(name, f"SELECT user_id, ts, event_id, {cells} FROM events WINDOW w AS ({_W}), r AS ({_W} ROWS 6 PRECEDING), c AS ({_W} ROWS UNBOUNDED PRECEDING)")(run)
 
 
@@ -365,16 +370,16 @@ def _gate_c(e: str) -> str:
 _surface("expanding_aggregates", _expanding, {"s": _gate_c("sum(value) OVER c"), "m": _gate_c("avg(value) OVER c"), "hi": _gate_c("max(value) OVER c"), "sd": _gate_c("stddev_samp(value) OVER c")})
 
 
-@query("running_values", f"SELECT user_id, ts, event_id, round(sum(value) OVER c, {DIGITS}) AS total, max(value) OVER c AS top, min(value) OVER c AS bottom FROM events WINDOW c AS ({_W} ROWS UNBOUNDED PRECEDING)")
+@query("running_values", f"SELECT user_id, ts, event_id, {cut('sum(value) OVER c')} AS total, max(value) OVER c AS top, min(value) OVER c AS bottom FROM events WINDOW c AS ({_W} ROWS UNBOUNDED PRECEDING)")
 def running_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = ticks(spark, sf_dir)
     back = f.w.rowsBetween(Window.unboundedPreceding, 0)
-    return f.df.select("user_id", "ts", "event_id", F.round(F.sum("value").over(back), DIGITS).alias("total"), F.max("value").over(back).alias("top"), F.min("value").over(back).alias("bottom"))
+    return f.df.select("user_id", "ts", "event_id", (F.floor(F.sum("value").over(back) * STEPS + 0.37) / STEPS).alias("total"), F.max("value").over(back).alias("top"), F.min("value").over(back).alias("bottom"))
 
 
 @query(
     "ranks",
-    "SELECT user_id, ts, event_id, round(rank() OVER v + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0, 6) AS average, CAST(dense_rank() OVER v AS DOUBLE) AS dense FROM events WINDOW v AS (PARTITION BY user_id ORDER BY value)",
+    "SELECT user_id, ts, event_id, CAST(rank() OVER v + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0 AS DOUBLE) AS average, CAST(dense_rank() OVER v AS DOUBLE) AS dense FROM events WINDOW v AS (PARTITION BY user_id ORDER BY value)",
 )
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = ticks(spark, sf_dir).rank("value", "average").rank("value", "dense", "dense")
@@ -383,8 +388,8 @@ def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reductions",
-    f"""SELECT user_id, count(value) AS value_count, round(sum(value), {DIGITS}) AS value_sum, round(avg(value), {DIGITS}) AS value_mean, min(value) AS value_min, max(value) AS value_max, round(var_samp(value), {DIGITS}) AS value_var,
-round(stddev_samp(value), {DIGITS}) AS value_std, round(median(value), {DIGITS}) AS value_median, round(stddev_samp(value) / sqrt(count(value)), {DIGITS}) AS value_sem, count(DISTINCT value) AS value_nunique, arg_max(ts, (value, -epoch_us(ts))) AS value_idxmax FROM events GROUP BY user_id""",
+    f"""SELECT user_id, count(value) AS value_count, {cut('sum(value)')} AS value_sum, {cut('avg(value)')} AS value_mean, min(value) AS value_min, max(value) AS value_max, {cut('var_samp(value)')} AS value_var,
+{cut('stddev_samp(value)')} AS value_std, {cut('median(value)')} AS value_median, {cut('stddev_samp(value) / sqrt(count(value))')} AS value_sem, count(DISTINCT value) AS value_nunique, arg_max(ts, (value, -epoch_us(ts))) AS value_idxmax FROM events GROUP BY user_id""",
 )
 def reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ticks(spark, sf_dir).reduce("count", "sum", "mean", "min", "max", "var", "std", "median", "sem", "nunique", "idxmax", columns=["value"]))
@@ -433,7 +438,7 @@ def datetime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "elementwise",
-    f"SELECT event_id, round(abs(value - 50), {DIGITS}) AS a, round(least(greatest(value, 20), 80), {DIGITS}) AS c, round(sqrt(abs(value)), {DIGITS}) AS s, round(ln(abs(value) + 1), {DIGITS}) AS l, round(sin(value), {DIGITS}) AS i, value BETWEEN 20 AND 80 AS b FROM events",
+    f"SELECT event_id, {cut('abs(value - 50)')} AS a, {cut('least(greatest(value, 20), 80)')} AS c, {cut('sqrt(abs(value))')} AS s, {cut('ln(abs(value) + 1)')} AS l, {cut('sin(value)')} AS i, value BETWEEN 20 AND 80 AS b FROM events",
 )
 def elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.arithmetic import between
