@@ -94,7 +94,7 @@ class BarFrame:
 
     def exec(self, directive: str, name: str = "value") -> DataFrame:
         """Key, order and the directive's value."""
-        return plans.evaluate(self.df, {name: directive}, self.key, self.order).select(*self.key, *self.order, name)
+        return plans.evaluate(self.df, {name: directive}, self.key, self.order).select(*self.key, *self.order, F.col(f"`{name}`"))
 
     def __getitem__(self, item):
         """A column or directive by text, several by list, rows by a truth column or a slice of positions."""
@@ -102,7 +102,8 @@ class BarFrame:
             return self.df.select(*self.key, *self.order, item) if item in self.columns else self.exec(item, plans.stringify(item, self.columns))
         if isinstance(item, list):
             made = self.indicators([x for x in item if x not in self.columns])
-            return self.over(made.df.select(*dict.fromkeys([*self.key, *self.order, *(x if x in self.columns else plans.stringify(x, self.columns) for x in item)])))
+            wanted = dict.fromkeys([*self.key, *self.order, *(x if x in self.columns else plans.stringify(x, self.columns) for x in item)])
+            return self.over(made.df.select(*(F.col(f"`{c}`") for c in wanted)))
         if isinstance(item, slice):
             return self.iloc(item)
         return self.filter(item)

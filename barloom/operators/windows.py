@@ -89,6 +89,7 @@ class RowWindow:
     def rank(self, c: Column, method: str = "average", ascending: bool = True, pct: bool = False) -> Column:
         x = clean(c)
         values = F.collect_list(x).over(self.frame)
+        x = F.last(x).over(self.frame)  # the newest of the window, which a centred one has after the current row
         sign = 1 if ascending else -1
         less, same = F.size(F.filter(values, lambda v: v * sign < x * sign)), F.size(F.filter(values, lambda v: v == x))
         value = {"min": less + 1, "max": less + same, "average": less + (same + 1) / 2}[method].cast("double")

@@ -63,7 +63,7 @@ def fits_of(c: Column) -> Column:
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", header: bool = True, na_rep: str = "", columns: Sequence[str] | None = None, float_format: str | None = None) -> None:
     rows = df.select(*(columns or df.columns))
     if float_format:
-        rows = rows.withColumns({c: F.format_string(float_format, F.col(c)) for c, kind in rows.dtypes if kind in ("double", "float")})
+        rows = rows.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(float_format, F.col(c))) for c, kind in rows.dtypes if kind in ("double", "float")})
     rows.write.csv(path, sep=sep, header=header, nullValue=na_rep, emptyValue="")
 
 
