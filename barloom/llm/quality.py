@@ -50,7 +50,7 @@ class Ranker:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 0):
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        self.weights, self.threshold = np.zeros(x.shape[1]) if len(x) else None, 0.0
+        self.weights, self.threshold = None, 0.0
         if not len(good) or not len(bad):
             return  # nothing to prefer: every text scores a half
         centre, scale = x.mean(0), x.std(0) + 1e-9
@@ -86,7 +86,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
 
     rows = training_rows(docs, labels, label_col, FOLDS, FOLD, max_train=max_train, id_col=id_col, text_col=text_col).mapInArrow(measure, "x array<double>, y int").collect()
     rows.sort()  # tasks end in any order
-    return Ranker(np.array([r[0] for r in rows]).reshape(len(rows), -1), np.array([r[1] for r in rows]))
+    width = len(features(""))
+    return Ranker(np.array([r[0] for r in rows]).reshape(len(rows), width), np.array([r[1] for r in rows]))
 
 
 def score_quality(docs: DataFrame, model: Ranker, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
