@@ -80,6 +80,8 @@ def lines_of(page: str) -> list[_Line]:
             in_link = not ends
         if tag in BLOCKS:
             flush()
+            if boiler and (boiler[-1][0] == "p" or boiler[-1][0] == tag == "li") and not ends:
+                boiler.pop()  # these end where the next one begins
         elif tag in ("br", "td", "th", "option", "img"):
             parts.append(" ")
         if tag in VOID:
@@ -98,8 +100,7 @@ def lines_of(page: str) -> list[_Line]:
                         del boiler[k:]
                     break
         elif boiler and boiler[-1][0] == tag:
-            if tag != "p":
-                boiler[-1][1] += 1
+            boiler[-1][1] += 1
         elif tag in BOILERPLATE or (rest and tag in BLOCKS | {"span", "button"} and tag not in ("html", "body", "article", "main") and _marked(rest)):
             if tag not in BLOCKS:
                 flush()

@@ -23,6 +23,7 @@ PLAIN = f"<div id=menu><a href=x>Home</a> <a>About</a></div><div><a href=1>Link
     (PAGE, "Title & more\n\nFirst line goes on\n\nShort.\n\nLast one é €"), (PLAIN, f"{LONG}\n\nSecond.\n\nThird one."), (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"),
     ("<article><p>cut off", "cut off"), ("<article>a<p>b</article><footer>c", "a\n\nb"), ("<p>a < b and 3<4</p>", "a < b and 3<4"), ("<main><p>x</p><nav>menu</nav><p>y</p></main>", "x\n\ny"),
     ("<article><p>" + "x" * 300_000 + "</p></article>", "x" * 300_000), ("<nav><p>never closed<article><p>kept</p></article>", ""), ("<script>only()</script>", ""),
+    ("<article><p class=ad>buy<p>real<ul><li class='promo'>x<li>y</ul><p class=ad>z</p>w</article>", "real\n\ny\n\nw"),
 ])
 def test_main_text(page, want):
     assert main_text(page) == want
