@@ -437,6 +437,32 @@ class BarFrame:
     def to_list(self, column: str) -> list:
         return [r[0] for r in self.sort_index().select(column).collect()]
 
+    def to_dict(self, column: str) -> dict:
+        """Labels of one series to values."""
+        return {r[0]: r[1] for r in self.sort_index().select(self.ts, column).collect()}
+
+    def items(self, column: str):
+        return iter(self.to_dict(column).items())
+
+    def fill_into(self, out, columns: Sequence[str] | None = None) -> None:
+        """Write the rows into a caller's array."""
+        out[...] = self.to_numpy(columns)
+
+    def to_dlpack(self, column: str):
+        """A numeric column without missing values for other array libraries."""
+        return self.to_numpy([column])[:, 0].copy().__dlpack__()
+
+    def to_string(self, n: int = 20) -> str:
+        return self.sort_index().limit(n).toPandas().to_string(na_rep="<NA>", index=False)
+
+    def _repr_html_(self) -> str:
+        return self.sort_index().limit(20).toPandas().to_html(na_rep="<NA>", index=False)
+
+    def ready(self, window: int) -> bool:
+        """Whether every series has window rows."""
+        least = self.df.groupBy(*self.key).count().agg(F.min("count")).first()[0]
+        return least is not None and least >= window
+
     def equals(self, other: BarFrame) -> bool:
         """Counts the rows that one frame has and the other lacks."""
         if self.columns != other.columns:
