@@ -3,7 +3,7 @@
 A document is the set of its word n-grams, as 64-bit hashes; documents with one set are one node. Two nodes that
 reach the similarity share at least T n-grams, so they meet in the lists of the rarest size - T + 1 n-grams of
 either: these short lists are what a query merges, and the T - 1 longest lists are never merged. A candidate found
-in a short list is then probed by binary search in the sorted set until its overlap reaches T. The merge of all
+in a short list whose sketch does not rule it out is then probed by binary search in the sorted set for an overlap of T. The merge of all
 queries' short lists is one distributed sort by n-gram.
 
 Lists are short because rarity is counted over the whole corpus, and frequent n-grams come last in the common order.
@@ -27,9 +27,13 @@ SHORT_LIST = 8
 #: Texts that hold an n-gram before its frequency is told to all tasks, at least; and n-grams told at most (20 MB).
 FREQUENT = 24
 MAX_FREQUENT = 4_000_000
+#: Entries of a long list that a task compares with as many others.
+BLOCK = 20_000
 #: N-grams and postings that one bucket holds on average.
 COUNTED = 6_000_000
 POSTINGS = 600_000
+#: Bits of a set's sketch.
+SKETCH_BITS = 1024
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 1 << 20
 
@@ -105,6 +109,12 @@ def node_of(grams: np.ndarray) -> int:
     return int((mix(grams + np.uint64(len(grams))).sum(dtype="u8")).astype("i8"))
 
 
+def sketch_of(grams: np.ndarray) -> bytes:
+    """The parity of the members in each of SKETCH_BITS cells: two sketches differ in no more bits than their sets in members."""
+    cell = mix(grams ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(SKETCH_BITS)
+    return np.packbits(np.bincount(cell.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def _required(size: int, percent: int) -> int:
     """The least overlap with any set that is similar enough: its n-grams beyond this number form the short lists."""
     return -(-percent * size // 100)
@@ -127,18 +137,19 @@ def _texts(batch, column: int):
 
 
 def _nodes(rows: DataFrame, n: int) -> DataFrame:
-    """_id, n_shingles, node of every row; node is null for an empty set."""
+    """_id, n_shingles, node and sketch of every row; the last two are null for an empty set."""
 
     def run(batches):
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for _, texts in _texts(batch, 1):
                 for grams in shingle_sets(texts, n):
                     sizes.append(len(grams))
                     nodes.append(node_of(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["_id", "n_shingles", "node"])
+                    sketches.append(sketch_of(grams) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["_id", "n_shingles", "node", "sketch"])
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, n_shingles long, node long")
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, n_shingles long, node long, sketch binary")
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -287,11 +298,87 @@ def _short_lists(rows: DataFrame, n: int, percent: int, total: int, frequent) ->
     return written(rows.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, "a long, b long, gram long, size long"), "short-lists")
 
 
+def _plausible(first: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b without those whose sketches prove that their sets differ in too many members."""
+
+    def run(batches):
+        for batch in batches:
+            m, k = (batch.column(i).to_numpy() for i in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for i in (3, 5))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            # |A xor B| is |A| + |B| - 2 overlap, and overlap * (100 + percent) >= percent * (|A| + |B|)
+            keep = (100 + percent) * differ <= (100 - percent) * (m + k)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+
+    x = first.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    y = first.select(F.col("node").alias("b"), F.col("size").alias("k"), F.col("sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "x", "k", "y").mapInArrow(run, "a long, b long")
+
+
+def _across(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of one list and different components (gram, node, size, root) that sizes and sketches allow.
+
+    Only such pairs become rows. A list is cut into blocks of about BLOCK entries, and a task compares two of them.
+    """
+    mixed = lists.groupBy("gram").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.count(F.lit(1)).alias("_m")).filter("_r <> _s")
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    rows = lists.join(mixed.select("gram", blocks.alias("_blocks")), "gram").join(first.select("node", "sketch"), "node")
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("gram", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "_block", "node", "size", "root", "sketch")
+    keys = ["gram", "low", "high"]
+
+    def compare(part: np.ndarray, block: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray):
+        order = np.argsort(size, kind="stable")
+        block, node, size, root, sketch = block[order], node[order], size[order], root[order], sketch[order]
+        within = part[1] == part[2]
+        # of each row, the rows before it that are large enough
+        first_fit = np.searchsorted(size, -(-percent * size // 100))
+        step = max(1, (1 << 18) // max(1, len(node)))
+        for at in range(0, len(node), step):
+            end = min(at + step, len(node))
+            low = int(first_fit[at])
+            differ = np.bitwise_count(sketch[at:end, None] ^ sketch[None, low:end]).sum(2, dtype=np.int64)
+            allowed = (100 - percent) * (size[at:end, None] + size[None, low:end])
+            index = np.arange(low, end)[None, :]
+            fits = ((100 + percent) * differ <= allowed) & (index < np.arange(at, end)[:, None]) & (index >= first_fit[at:end, None]) & (root[at:end, None] != root[None, low:end])
+            if not within:
+                fits &= block[at:end, None] != block[None, low:end]
+            i, j = np.nonzero(fits)
+            x, y = node[i + at], node[j + low]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(table: pa.Table):
+            part = np.stack([table.column(c).to_numpy() for c in range(3)], 1)
+            values = [table.column(c).to_numpy() for c in range(3, 7)]
+            sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
+            cuts = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
+            found = [pair for at, end in zip([0, *cuts], [*cuts, len(part)], strict=True) for pair in compare(part[at], *(v[at:end] for v in values), sketch[at:end])]
+            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:  # sorted: a group may go on in the next batch
+            if not batch.num_rows:
+                continue
+            part = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            last = int(np.argmax((part == part[-1]).all(1)))
+            if held and (np.array([held[-1].column(c)[-1].as_py() for c in range(3)]) != part[-1]).any() or last:
+                yield from flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def _probe(rows: DataFrame, first: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs a, b of nodes whose overlap reaches what their sizes require, counted by binary search."""
-    pairs = written(pairs, "candidates")
+    pairs = written(_plausible(first, pairs, percent), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(first.join(wanted, "node").select(F.col("_first").alias("_key"), F.col("node").alias("_node")), "wanted")
+    wanted = written(first.select("node", "_first").join(wanted, "node").select(F.col("_first").alias("_key"), F.col("node").alias("_node")), "wanted")
 
     def hold(batches):
         for batch in batches:
@@ -334,7 +421,8 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str =
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
         return nodes.select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id"))
-    first = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.xxhash64("_id")).alias("_first"))
+    first = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.xxhash64("_id")).alias("_first"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    first = written(first, "sketches")
     lists = _short_lists(rows, n, percent, total, _frequent(rows, n, total))
 
     pairs = lists.filter("b IS NOT NULL").select("a", "b").distinct()
@@ -344,11 +432,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str =
     if not small(long, 0):
         named = long.join(parts, "node", "left").select("gram", "node", "size", F.coalesce("root", "node").alias("root"))
         named = written(named, "long-lists")
-        mixed = named.groupBy("gram").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("gram")
-        open_ = named.join(mixed, "gram", "left_semi")
-        x, y = open_.toDF("gram", "a", "_n", "_r"), open_.toDF("gram", "b", "_m", "_s")
-        fits = (F.col("_r") != F.col("_s")) & (F.col("a") < F.col("b")) & (100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m"))
-        across = x.join(y, "gram").filter(fits).select("a", "b").distinct().join(written(pairs, "tried"), ["a", "b"], "left_anti")
+        across = _across(named, first, percent).distinct().join(written(pairs, "tried"), ["a", "b"], "left_anti")
         across = written(across, "across")
         if not small(across, 0):
             links = links.unionAll(_probe(rows, first, across, n, percent))
