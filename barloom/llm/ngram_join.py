@@ -32,8 +32,10 @@ BLOCK = 20_000
 #: N-grams and postings that one bucket holds on average.
 COUNTED = 6_000_000
 POSTINGS = 600_000
-#: Bits of a set's sketch.
+#: Bits of a set's sketch, and of one over LARGE members. The larger folds to the smaller.
 SKETCH_BITS = 1024
+LARGE_BITS = 16_384
+LARGE = 1_200
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 1 << 20
 
@@ -110,9 +112,29 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def sketch_of(grams: np.ndarray) -> bytes:
-    """The parity of the members in each of SKETCH_BITS cells: two sketches differ in no more bits than their sets in members."""
-    cell = mix(grams ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(SKETCH_BITS)
-    return np.packbits(np.bincount(cell.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """The parity of the members in each cell: two sketches differ in no more bits than their sets in members."""
+    bits = LARGE_BITS if len(grams) > LARGE else SKETCH_BITS
+    cell = mix(grams ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(bits)
+    return np.packbits(np.bincount(cell.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of SKETCH_BITS bits in 64-bit words."""
+    out = np.empty((len(sketches), SKETCH_BITS // 64), "<u8")
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, SKETCH_BITS // 64), axis=0)
+    return out
+
+
+def sketches_differ(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits each pair differs, at the finer of the sizes that both have."""
+    differ = np.empty(len(x), np.int64)
+    large = np.array([len(a) == len(b) == LARGE_BITS // 8 for a, b in zip(x, y, strict=True)], bool)
+    for i in np.flatnonzero(large):
+        differ[i] = np.bitwise_count(np.frombuffer(x[i], "<u8") ^ np.frombuffer(y[i], "<u8")).sum()
+    rest = np.flatnonzero(~large)
+    differ[rest] = np.bitwise_count(fold([x[i] for i in rest]) ^ fold([y[i] for i in rest])).sum(1)
+    return differ
 
 
 def _required(size: int, percent: int) -> int:
@@ -304,8 +326,7 @@ def _plausible(first: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             m, k = (batch.column(i).to_numpy() for i in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for i in (3, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            differ = sketches_differ(batch.column(3).to_pylist(), batch.column(5).to_pylist())
             # |A xor B| is |A| + |B| - 2 overlap, and overlap * (100 + percent) >= percent * (|A| + |B|)
             keep = (100 + percent) * differ <= (100 - percent) * (m + k)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
@@ -353,7 +374,7 @@ def _across(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
         def flush(table: pa.Table):
             part = np.stack([table.column(c).to_numpy() for c in range(3)], 1)
             values = [table.column(c).to_numpy() for c in range(3, 7)]
-            sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
+            sketch = fold(table.column(7).to_pylist())
             cuts = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
             found = [pair for at, end in zip([0, *cuts], [*cuts, len(part)], strict=True) for pair in compare(part[at], *(v[at:end] for v in values), sketch[at:end])]
             a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))

@@ -81,10 +81,14 @@ def test_sets_do_not_depend_on_their_batch():
 
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        a, b = (np.unique(rng.integers(0, 3000, rng.integers(1, 900))).astype("u8") for _ in range(2))
-        x, y = (np.frombuffer(N.sketch_of(N.mix(v)), np.uint8) for v in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    for most in (900, 5000):
+        sets = [N.mix(np.unique(rng.integers(0, 6000, rng.integers(1, most))).astype("u8")) for _ in range(60)]
+        a, b = sets[::2], sets[1::2]
+        differ = N.sketches_differ([N.sketch_of(x) for x in a], [N.sketch_of(x) for x in b])
+        assert all(d <= len(np.setxor1d(x, y)) for d, x, y in zip(differ, a, b, strict=True)) and differ.max() > 200
+    large = N.mix(np.arange(3000, dtype="u8"))
+    cells = N.mix(large ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(N.SKETCH_BITS)
+    assert np.array_equal(N.fold([N.sketch_of(large)])[0].view(np.uint8), np.packbits(np.bincount(cells.astype(int), minlength=N.SKETCH_BITS) & 1))
 
 
 def test_packed_numbers():
