@@ -110,7 +110,7 @@ def solve(x: np.ndarray, y: np.ndarray, d: np.ndarray, l2: float, weight: float,
     keep = np.append(np.full(x.shape[1], l2), 1e-6)
 
     def curvature(a: np.ndarray) -> float:  # the largest eigenvalue of a'a by power iteration
-        v = np.ones(a.shape[1])
+        v = np.random.default_rng(0).normal(size=a.shape[1])
         for _ in range(30):
             u = a.T @ (a @ v)
             v = u / (np.linalg.norm(u) + 1e-12)
