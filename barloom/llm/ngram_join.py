@@ -24,6 +24,8 @@ from .components import connected_components
 
 #: A list up to this long makes all its pairs at once.
 SHORT_LIST = 8
+#: In a longer list, the next entries that each is tried with at first.
+NEIGHBOURS = 4
 #: Texts that hold an n-gram before its frequency is told to all tasks, at least; and n-grams told at most (20 MB).
 FREQUENT = 24
 MAX_FREQUENT = 4_000_000
@@ -302,7 +304,7 @@ def _short_lists(rows: DataFrame, n: int, percent: int, total: int, frequent) ->
         length = np.repeat(np.diff(np.append(at, len(p))), np.diff(np.append(at, len(p))))
         pairs = []
         for step in range(1, SHORT_LIST):
-            near = (p["gram"][step:] == p["gram"][:-step]) & ((length[step:] <= SHORT_LIST) | (step == 1))
+            near = (p["gram"][step:] == p["gram"][:-step]) & ((length[step:] <= SHORT_LIST) | (step <= NEIGHBOURS))
             a, b = p[:-step][near], p[step:][near]
             low, high = np.minimum(a["size"], b["size"]), np.maximum(a["size"], b["size"])
             fits = (100 * low.astype("i8") >= percent * high.astype("i8")) & (a["node"] != b["node"])
@@ -377,8 +379,8 @@ def _across(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
             sketch = fold(table.column(7).to_pylist())
             cuts = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
             found = [pair for at, end in zip([0, *cuts], [*cuts, len(part)], strict=True) for pair in compare(part[at], *(v[at:end] for v in values), sketch[at:end])]
-            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            pairs = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], 1), axis=0)  # lists share pairs
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:  # sorted: a group may go on in the next batch
             if not batch.num_rows:
