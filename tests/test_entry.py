@@ -22,6 +22,6 @@ def test_query_equals_sql(spark, tmp_path, name):
     con.sql(f"CREATE TABLE got AS SELECT * FROM '{tmp_path}/out/*.parquet'")
     columns = sorted(c[0] for c in con.sql("DESCRIBE want").fetchall())
     assert columns == sorted(c[0] for c in con.sql("DESCRIBE got").fetchall())
-    listed = ", ".join(columns)
+    listed = ", ".join(f'"{c}"' for c in columns)
     for a, b in (("want", "got"), ("got", "want")):
         assert con.sql(f"SELECT {listed} FROM {a} EXCEPT ALL SELECT {listed} FROM {b}").fetchall() == []
