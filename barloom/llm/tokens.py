@@ -96,9 +96,12 @@ class Chunks(dict):
         if not text.isascii():
             if any(s in text for s in self.specials) or any(c in text for c in ODD_SPACES):
                 return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2")
+            whole = text
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+            if not unicodedata.is_normalized("NFC", text):  # a chunk that is encoded alone would be normalised again
+                return np.array(self.full.encode(whole, add_special_tokens=False).ids, "<u2")
         else:
             if "<|" in text and any(s in text for s in self.specials) or any(c in text for c in ODD_SPACES):
                 return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2")

@@ -29,7 +29,7 @@ def test_queries_equal_sql(spark, tmp_path, name):
     QUERIES[name](spark, SMALL).write.parquet(str(tmp_path / "out"))
     con.sql(f"CREATE TABLE want AS {SQL[name]}")
     con.sql(f"CREATE TABLE got AS SELECT * FROM '{tmp_path}/out/*.parquet'")
-    listed = ", ".join(sorted(c[0] for c in con.sql("DESCRIBE want").fetchall()))
+    listed = ", ".join(f'"{c}"' for c in sorted(c[0] for c in con.sql("DESCRIBE want").fetchall()))
     for a, b in (("want", "got"), ("got", "want")):
         assert con.sql(f"SELECT {listed} FROM {a} EXCEPT ALL SELECT {listed} FROM {b}").fetchall() == []
 

@@ -11,7 +11,7 @@ from barloom.llm.packing import best_fit_pack, best_fit_rounds, pack_documents
 from barloom.llm.tokens import chunks, default_vocabulary
 from barloom.llm.training_order import feistel, read_training_order, write_training_order
 
-TEXTS = ["it's the o'reilly's, 12 3.4 don't!", "ΑΣ ΣΟΦΟΣ 你好 мир", "a\x1cb c", "İstanbul ŉ x́ é", "<|endoftext|> hi <|startoftext|>", "'s't've'tis a) (b", "x" * 5000, "", "  \n", "Word, word. WORD! wörd;", "ab###$$$ **bold**"]
+TEXTS = ["it's the o'reilly's, 12 3.4 don't!", "ΑΣ ΣΟΦΟΣ 你好 мир", "a\x1cb c", "İstanbul ŉ x́ é", "J\u030c x", "H\u0331 T\u0308 W\u030a", "İ\u0327 and J\u030cA", "<|endoftext|> hi <|startoftext|>", "'s't've'tis a) (b", "x" * 5000, "", "  \n", "Word, word. WORD! wörd;", "ab###$$$ **bold**"]
 
 
 def exact(text):
@@ -24,7 +24,7 @@ def test_ids_are_the_tokenizers(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("abcXYZ éßñÉ'.,!12\n\t#$·"), max_size=60))
+@given(st.text(alphabet=st.sampled_from("abcXYZJHTWİ éßñÉ'.,!12\n\t#$·\u030c\u0331\u0308\u030a\u0327\u0301"), max_size=60))
 def test_ids_of_any_text(text):
     assert list(chunks(default_vocabulary()).ids(text)) == exact(text)
 
@@ -109,6 +109,22 @@ def test_feistel_is_a_keyed_permutation(n):
         assert (a != b).mean() > 0.9 and abs(np.corrcoef(np.arange(n), a)[0, 1]) < 0.1
 
 
+def test_training_order_is_the_tables_not_the_clusters(spark, documents):
+    table = documents([(i, "the tree " * (i % 60)) for i in range(300)], partitions=2)
+    want = sorted(map(tuple, read_training_order(write_training_order(table, seq_len=16, rows_per_shard=50)).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, read_training_order(write_training_order(table, seq_len=16, rows_per_shard=50)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    odd = read_training_order(write_training_order(table.filter("doc_id % 2 = 1"), seq_len=16, rows_per_shard=50)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in odd) == sorted((r[2], r[3], r[5]) for r in want if r[2] % 2)
+    loose = read_training_order(write_training_order(table.repartition(5), seq_len=16, rows_per_shard=50)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in loose) == sorted((r[2], r[3], r[5]) for r in want)
+
+
 def test_training_order_round_trip(spark, documents):
     docs = [(i, "the tree " * (i % 40)) for i in range(150)] + [(None, "no id"), (200, None), (201, "again"), (201, "again"), (202, "z" * 3000)]
     manifest = write_training_order(documents(docs), seq_len=16, rows_per_shard=50)
