@@ -17,32 +17,40 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|template|noscript|iframe|svg|math|select|object|canvas|audio|video|title|head"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is no tags (they end at their end tag alone), and others that show no text of the page.
+RAW = "script|style|textarea|title|iframe|xmp"
+MUTE = frozenset("template noscript svg math select object canvas audio video".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button search".split())
 CONTENT = frozenset("article main".split())
-#: Words in a class, id or role that mark menus, notices, adverts, comments and the like.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay"
-    r"|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|header|masthead|topbar|footer|bottom|comment|comments|respond|disqus|reply|replies|share|sharing|social|related|recommended"
-    r"|newsletter|subscribe|subscription|signup|login|search|toolbar|pager|pagination|widget|complementary|contentinfo|skip|disclaimer)(?:$|[\s_-])",
-    re.I,
+#: Words of a class, id or role that mark menus, notices, adverts, comments and the like.
+MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
+    " sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments respond disqus reply replies share sharing social related recommended"
+    " newsletter subscribe subscription signup login search toolbar pager pagination widget complementary contentinfo disclaimer".split()
 )
+#: Words that go with them in a name such as site-footer or share_buttons; any other word makes the name one of its own.
+FILLERS = frozenset(
+    "site page main top bottom left right upper lower inner outer wrap wrapper container box block bar area section region group row col column list item items link links button buttons"
+    " icon icons post posts article articles story stories content text form field unit slot primary secondary global mobile desktop fixed sticky the my js".split()
+)
+_ATTRIBUTES = r"(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^=>])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b" + _ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?![a-zA-Z0-9:-])" + _ATTRIBUTES + r")>|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: Lines a window sums, and the sum at which a page without marked regions surges.
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Lines a window sums, and the sum at which text surges.
 WINDOW = 3
 SURGE = 80
 
 
 class _Line:
-    __slots__ = ("boiler", "content", "linked", "text")
+    __slots__ = ("boiler", "content", "linked", "text", "title")
 
-    def __init__(self, text: str, linked: int, boiler: bool, content: bool):
-        self.text, self.linked, self.boiler, self.content = text, linked, boiler, content
+    def __init__(self, text: str, linked: int, boiler: bool, content: bool, title: bool):
+        self.text, self.linked, self.boiler, self.content, self.title = text, linked, boiler, content, title
 
 
 def lines_of(page: str) -> list[_Line]:
@@ -50,21 +58,29 @@ def lines_of(page: str) -> list[_Line]:
     lines: list[_Line] = []
     parts: list[str] = []
     linked = 0
-    in_link = False
+    in_link = title = False
     boiler: list[list] = []  # open boilerplate elements: [tag, depth of the same tag inside]
     content = 0
+    mute: list = []  # the open element without text: [tag, depth of the same tag inside]
+    ends_at: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text:
-            lines.append(_Line(text, linked, bool(boiler), content > 0))
+            lines.append(_Line(text, linked, bool(boiler), content > 0, title))
         parts.clear()
         linked = 0
 
+    def closes(tag: str, at: int) -> bool:
+        """Whether an end tag follows; one that doesn't would hide the rest of the page."""
+        if tag not in ends_at:
+            ends_at[tag] = max((m.start() for m in re.finditer(f"</{tag}\\b", page, re.I)), default=-1)
+        return ends_at[tag] > at
+
     last = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > last:
+    for m in TOKEN.finditer(page, 0, page.rfind(">") + 1):  # beyond it no tag ends, and looking for its end takes long
+        if m.start() > last and not mute:
             piece = page[last : m.start()]
             parts.append(piece)
             if in_link:
@@ -76,10 +92,22 @@ def lines_of(page: str) -> list[_Line]:
                 parts.append(" ")
             continue
         tag, ends, rest = tag.lower(), bool(m["end"]), m["rest"]
+        if mute:
+            if tag == mute[0] and not rest.endswith("/"):
+                mute[1] += -1 if ends else 1
+                if not mute[1]:
+                    mute = []
+            continue
+        if tag in MUTE:
+            parts.append(" ")
+            if not ends and not rest.endswith("/") and closes(tag, m.end()):
+                mute = [tag, 1]
+            continue
         if tag == "a":
             in_link = not ends
         if tag in BLOCKS:
             flush()
+            title = tag == "h1" and not ends
             if boiler and (boiler[-1][0] == "p" or boiler[-1][0] == tag == "li") and not ends:
                 boiler.pop()  # these end where the next one begins
         elif tag in ("br", "td", "th", "option", "img"):
@@ -101,45 +129,80 @@ def lines_of(page: str) -> list[_Line]:
                     break
         elif boiler and boiler[-1][0] == tag:
             boiler[-1][1] += 1
-        elif tag in BOILERPLATE or (rest and tag in BLOCKS | {"span", "button"} and tag not in ("html", "body", "article", "main") and _marked(rest)):
+        elif tag in BOILERPLATE or (rest and tag in BLOCKS | {"span", "button"} and tag not in ("html", "body", "article", "main") and _marked(rest, tag in HEADINGS)):
             if tag not in BLOCKS:
                 flush()
             boiler.append([tag, 0])
-    if last < len(page):
+    if last < len(page) and not mute:
         parts.append(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[last:]))
     flush()
     return lines
 
 
-def _marked(rest: str) -> bool:
-    return any(MARKS.search(a or b or c) for a, b, c in ATTRIBUTE.findall(rest)) or bool(HIDDEN.search(rest))
+def _names_boilerplate(token: str) -> bool:
+    """Whether a class, id or role is made of marks, and of words that go with them, alone."""
+    words = re.split(r"[-_]+", token.strip("-_"))
+    return any(w in MARKS for w in words) and all(w in MARKS or w in FILLERS for w in words)
+
+
+def _marked(rest: str, heading: bool) -> bool:
+    """Whether the attributes hide an element or name it boilerplate; the name of a heading is an anchor to its text."""
+    for name, *values in ATTRIBUTE.findall(rest):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and HIDING.search(value)):
+            return True
+        if name in ("class", "id", "role") and not heading and any(map(_names_boilerplate, value.lower().split())):
+            return True
+    return False
+
+
+def weights_of(lines: list[_Line]) -> np.ndarray:
+    """A line weighs its length; one in a region that markup names as content weighs a surge more.
+
+    Regions named as boilerplate weigh nothing; nor do lines outside the content of a page that names it, and lines
+    that are mostly links elsewhere.
+    """
+    named = any(x.content and not x.boiler for x in lines)
+
+    def weigh(x: _Line) -> int:
+        if x.boiler:
+            return 0
+        if x.content:
+            return len(x.text) + SURGE
+        return 0 if named or 2 * x.linked > len(x.text) else len(x.text)
+
+    return np.array([weigh(x) for x in lines])
 
 
 def main_text(page: str | None) -> str:
     """The blocks between the surges and dives of the line-block distribution, joined by blank lines.
 
-    A line's weight is its length; regions that markup names as boilerplate weigh nothing, nor, where the page names
-    its content, does anything outside it. The weights are summed over sliding windows of lines. Where regions are
-    named, any weight is a surge; on other pages, lines that are mostly links weigh nothing, a block begins where
-    the sum surges over SURGE and ends where it dives to nothing.
+    The lines' weights are summed over sliding windows, from each line on. Where the sum surges over SURGE (or over the
+    page's highest sum, if that is lower) a block begins: at the first line with a weight, or, where no content is
+    named, at a title in the same run of lines up to a window on, since what stands before the title is not the
+    article. The block ends where the sum dives to nothing, and its lines without weight go.
     """
     lines = lines_of(page) if page else []
     if not lines:
         return ""
-    named = any(x.content and not x.boiler for x in lines)
-    weight = np.array([0 if x.boiler or (named and not x.content) or (not named and 2 * x.linked > len(x.text)) else len(x.text) for x in lines])
+    weight = weights_of(lines)
     sums = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1 :]  # of a line and those after it
+    surge = min(SURGE, int(sums.max(initial=0))) or 1
     kept: list[str] = []
-    threshold = 1 if named else min(SURGE, int(sums.max(initial=0)))
-    i = 0
+    i = run = 0  # run: the first of the lines with weight up to i
     while i < len(lines):
-        if not weight[i] or sums[i] < threshold:  # no surge yet
+        if sums[i] < surge:
             i += 1
+            run = run if weight[i - 1] else i
             continue
+        while not weight[i]:
+            run = i = i + 1
+        if not lines[i].content:
+            i = next((k for k in range(run, min(i + WINDOW, len(lines))) if lines[k].title and weight[k]), i)
         while i < len(lines) and sums[i]:  # until the dive
             if weight[i]:
                 kept.append(lines[i].text)
-            i += 1
+            run = i = i + 1
     return "\n\n".join(kept)
 
 

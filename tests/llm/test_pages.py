@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import io
+import re
 import struct
+from html.parser import HTMLParser
 
 import pyarrow as pa
 import pytest
@@ -24,11 +26,56 @@ PLAIN = f"<div id=menu><a href=x>Home</a> <a>About</a></div><div><a href=1>Link
     ("<article><p>cut off", "cut off"), ("<article>a<p>b</article><footer>c", "a\n\nb"), ("<p>a < b and 3<4</p>", "a < b and 3<4"), ("<main><p>x</p><nav>menu</nav><p>y</p></main>", "x\n\ny"),
     ("<article><p>" + "x" * 300_000 + "</p></article>", "x" * 300_000), ("<nav><p>never closed<article><p>kept</p></article>", ""), ("<script>only()</script>", ""),
     ("<article><p class=ad>buy<p>real<ul><li class='promo'>x<li>y</ul><p class=ad>z</p>w</article>", "real\n\ny\n\nw"),
+    ('<article><p title="the hidden treasure">Keep me</p><p>B</p></article>', "Keep me\n\nB"), ('<article><h2 id="related-work">Related work</h2><p>x</p></article>', "Related work\n\nx"),
+    ('<div class="side-by-side">Body text</div>', "Body text"), ("one <a title=don't href=x>link</a> two", "one link two"), ("<article><p hidden>no</p><p aria-hidden='true'>no</p><p style='display: none'>no</p>yes</article>", "yes"),
+    ("<head><title>T</title><article><p>no end of the head</article>", "no end of the head"), ("<article>a <svg><title>t</title><text>no</text></svg> b <select>c</article>", "a b c"),
+    ("<article><div class='no-sidebar'>x</div><div class='site-footer'>y</div></article>", "x"), ("<article>a<p title=\"never closed>b</p></article>", "a\n\nb"),
+    ("<div>Buy this now, it is cheap and good.</div><h1>Title</h1><p>" + LONG + "</p><p>End.</p>", f"Title\n\n{LONG}\n\nEnd."), ("<p>" + "<a title='" * 20_000, ""),
 ])
 def test_main_text(page, want):
     assert main_text(page) == want
 
 
+class Reference(HTMLParser):
+    """An extractor of its own for pages as those of the tables: blocks in article, none of its asides."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("nav", "footer", "script", "style")
+        self.blocks.append("") if tag in ("article", "h1", "p", "div", "li", "ul") else self.handle_data(" " if tag == "br" else "")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("nav", "footer", "script", "style")
+        if tag in ("article", "h1", "p", "div", "li", "ul"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+    @classmethod
+    def text(cls, page):
+        parser = cls()
+        parser.feed(page)
+        parser.close()
+        return "\n\n".join(t for b in parser.blocks if (t := " ".join(b.split())))
+
+
+def test_pages_of_the_table_by_marks_and_by_lines_alone(spark):
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert len(pages) > 100
+    for page in pages:
+        want = Reference.text(page)
+        assert main_text(page) == want
+        bare = re.sub(r"</?(?:article|main)\b[^>]*>|\sclass=(?:\"[^\"]*\"|'[^']*')", "", page)
+        assert "<article" not in bare and "class=" not in bare and main_text(bare) == want
+
+
 def test_extract_keeps_rows_and_columns(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "k", "old"), (2, None, None, None, None), (2, None, None, None, None)], "page_id long, url string, html string, extra string, text string")
     got = extract_main_text(rows).orderBy("page_id").collect()
