@@ -3,16 +3,16 @@
 Every stage function takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and read
 again as the docs of the next. All but the last return the columns of documents. Nulls and empty texts: quality
 scores them like any text; deduplication counts null as empty, and texts without words have no near copies;
-decontamination leaves them as they are; packing gives them one piece. Rows that repeat an id and a text are one
-document; an id with several texts is several documents. Empty tables pass through.
+decontamination leaves them as they are; packing gives them one piece. Rows that repeat an id and a text are exact
+copies, of which one stays; an id with several texts is several documents. Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import maybe_broadcast, table, text_of, written
+from barloom.llm.common import free_name, maybe_broadcast, placed, table, written
 from barloom.llm.decontaminate import decontaminate
 from barloom.llm.exact_dedup import exact_dedup
 from barloom.llm.ngram_join import ngram_join
@@ -22,13 +22,10 @@ from barloom.llm.quality import keep_quality
 CAPACITY = 2048
 
 
-def _key(docs: DataFrame):
-    return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs["text"])).alias("hash"))
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose key is dropped; texts are shuffled only if the dropped keys are too many to broadcast."""
-    return docs.withColumn("_key", _key(docs)).join(maybe_broadcast(written(dropped, "dropped")), "_key", "left_anti").select(*docs.columns)
+    name = free_name(docs, "_key")
+    return docs.select("*", key.alias(name)).join(maybe_broadcast(written(dropped.select(F.col("_key").alias(name)), "dropped")), name, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest id stays."""
-    rows = exact_dedup(docs.select(_key(docs).alias("_key"), "text"), "_key")
-    return _without(docs, rows.filter(~F.col("kept")).select("_key").distinct())
+    docs, place = placed(docs)
+    key = F.struct(docs["doc_id"], place.alias("place"))  # ties of id and text: one of the repeated rows stays
+    rows = exact_dedup(docs.select(key.alias("_key"), "text"), "_key")
+    return _without(docs, key, rows.filter(~F.col("kept")).select("_key"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 over five-word n-grams the smallest id stays."""
-    rows = ngram_join(docs.select(_key(docs).alias("_key"), "text"), n=5, percent=80, id_col="_key")
-    return _without(docs, rows.filter(~F.col("_key").eqNullSafe(F.col("component_id"))).select("_key").distinct())
+    docs, place = placed(docs)
+    key = F.struct(docs["doc_id"].isNull().alias("unnamed"), docs["doc_id"], place.alias("place"))  # null ids come last
+    rows = ngram_join(docs.select(key.alias("_key"), "text"), n=5, percent=80, id_col="_key")
+    return _without(docs, key, rows.filter(F.col("_key") != F.col("component_id")).select("_key"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
