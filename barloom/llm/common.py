@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,50 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Rows of a group from which on it is hot. There are at most so many times fewer hot groups than rows.
+HOT_ROWS = 10_000
+
+
+def left_join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows with the columns of their group, one row a key in groups, whose rows count tells; null where there is none.
+
+    A few groups are broadcast. Of many, only the hot ones are, so that rows of a hot key are not dealt by it, and the
+    rest are dealt by key. Keys have no nulls. groups is read several times, as a table.
+    """
+    if small(groups):
+        return rows.join(F.broadcast(groups), keys, "left")
+    hot = groups.filter(F.col(count) > HOT_ROWS)
+    others = [c for c in groups.columns if c not in keys]
+    first = rows.join(maybe_broadcast(hot), keys, "left")
+    rest = first.filter(F.col(count).isNull()).drop(*others).join(groups.filter(F.col(count) <= HOT_ROWS), keys, "left")
+    return first.filter(F.col(count).isNotNull()).select(*rest.columns).unionAll(rest)
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs and a column that tells its rows apart: (hash of the file, row in it). Rows that don't come straight from a
+    Parquet table are written as one first, so that each read gives them the same place."""
+    plans, straight = [docs._jdf.queryExecution().analyzed()], True
+    while plans:
+        plan = plans.pop()
+        straight &= plan.nodeName() in ("Project", "Filter", "SubqueryAlias") or plan.nodeName().startswith(("LogicalRelation", "Relation"))
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    try:
+        meta = docs.metadataColumn("_metadata") if straight else None
+        docs.select(meta["row_index"])
+    except (AnalysisException, TypeError):  # no file source, or one whose rows have no numbers
+        docs = written(docs, "placed")
+        meta = docs.metadataColumn("_metadata")
+    return docs, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row"))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of docs is called so."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

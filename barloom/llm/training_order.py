@@ -7,11 +7,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, text_of, written
+from .common import placed, remove, scratch, text_of, written
 from .tokens import chunks, default_vocabulary
 
 #: A record's head: doc_id, piece, how many ids, whether doc_id is null. The ids follow as 16-bit numbers, padded with zeros.
@@ -70,22 +69,10 @@ def _unpack(blob: bytes, n: int, dtype: np.dtype) -> np.ndarray:
     return data.view(dtype).ravel()
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _text, and the split that a row is read from: _file, _block. Rows that don't come straight from files are
-    written as a table first, since a shuffle would part the rows of a split."""
-    plans, straight = [docs._jdf.queryExecution().analyzed()], True
-    while plans:
-        plan = plans.pop()
-        straight &= plan.nodeName() in ("Project", "Filter", "SubqueryAlias") or plan.nodeName().startswith(("LogicalRelation", "Relation"))
-        children = plan.children()
-        plans += [children.apply(i) for i in range(children.size())]
-    try:
-        meta = docs.metadataColumn("_metadata") if straight else None
-    except AnalysisException:  # no file source
-        meta = None
-    if meta is None:
-        docs = written(docs.select(id_col, text_col), "documents")
-        meta = docs.metadataColumn("_metadata")
+def _splits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text, and the split that a row is read from: _file, _block."""
+    docs, _ = placed(docs)  # a shuffle would part the rows of a split
+    meta = docs.metadataColumn("_metadata")
     return docs.select(docs[id_col].cast("long").alias("_id"), text_of(docs[text_col]).alias("_text"), meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"))
 
 
@@ -160,7 +147,7 @@ def write_training_order(docs: DataFrame, folder: str | None = None, *, seq_len:
     folder = folder or scratch(spark, "training-order")
     dtype = _record(seq_len)
     staging = scratch(spark, "sequences")
-    _sequences(_placed(docs, id_col, text_col), seq_len, path).write.option("compression", "none").parquet(staging)
+    _sequences(_splits(docs.select(id_col, text_col), id_col, text_col), seq_len, path).write.option("compression", "none").parquet(staging)
     staged = spark.read.schema("file string, block long, before long, n int, blob binary").parquet(staging)
     run = F.xxhash64("file", "block").alias("run")
     counts = staged.groupBy("file", "block").agg(F.sum("n").alias("n")).orderBy("file", "block").select(run, "n")

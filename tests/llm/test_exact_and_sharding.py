@@ -5,7 +5,8 @@ from collections import defaultdict
 
 import pytest
 
-from barloom.llm import sharding
+from barloom.llm import common, sharding
+from barloom.llm import exact_dedup as exact_dedup_module
 from barloom.llm.exact_dedup import exact_dedup
 
 HEAD = "x" * 80
@@ -19,17 +20,38 @@ def test_exact_dedup(documents, broadcast_rows, digest_all):
     for i, t in CASES:
         groups[t or ""].append(i)
     rows = exact_dedup(documents(CASES), digest_all=digest_all, broadcast_rows=broadcast_rows).collect()
-    assert len(rows) == len(CASES)
+    assert len(rows) == len(CASES) and sum(r["kept"] for r in rows) == len(groups)
     text_of = {i: t or "" for i, t in CASES}
     for r in rows:
         own = groups["a" if r["doc_id"] is None else text_of[r["doc_id"]]]
         top = max(x for x in own if x is not None)
-        assert (r["keep_id"], r["group_size"], r["kept"]) == (top, len(own), r["doc_id"] == top)
+        assert (r["keep_id"], r["group_size"]) == (top, len(own)) and (r["doc_id"] == top or not r["kept"])
         digest = hashlib.sha256(("a" if r["doc_id"] is None else text_of[r["doc_id"]]).encode()).hexdigest()
         assert r["text_sha256"] == digest or (not digest_all and r["text_sha256"] is None and len(own) == 1)
-    # a lone length is settled without a digest
-    if not digest_all and broadcast_rows:
-        assert next(r for r in rows if r["doc_id"] == 12)["text_sha256"] is None
+    # a lone length is settled without a digest, however the classes are told
+    assert digest_all or next(r for r in rows if r["doc_id"] == 12)["text_sha256"] is None
+
+
+def test_many_groups_are_joined_without_a_hot_task(documents, monkeypatch):
+    want = sorted(map(str, exact_dedup(documents(CASES)).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common.small, "__defaults__", (1,))
+    monkeypatch.setattr(common.maybe_broadcast, "__defaults__", (1,))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(str, exact_dedup(documents(CASES), broadcast_rows=0).collect())) == want
+
+
+def test_digests_are_of_surviving_rows_alone(documents, monkeypatch):
+    """The one plan that hashes texts does so above the join with the classes, and no filter asks for a digest."""
+    plans = []
+    kept = exact_dedup_module.written
+    monkeypatch.setattr(exact_dedup_module, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name))
+    exact_dedup(documents(CASES)).collect()
+    assert [name for name, _ in plans] == ["refined", "hashed", "groups"]
+    assert "sha2" not in plans[0][1] and "sha2" not in plans[2][1]
+    lines = plans[1][1].split("\n")
+    assert min(k for k, x in enumerate(lines) if "sha2" in x) < next(k for k, x in enumerate(lines) if "Join" in x)
+    assert not any("sha2" in x for x in lines[next(k for k, x in enumerate(lines) if "Join" in x) :]) and "CASE WHEN" in plans[1][1]
 
 
 def test_exact_dedup_of_nothing(documents):

@@ -67,6 +67,20 @@ def test_pipeline(spark, table_dir):
     assert sum(r["length"] for r in pieces) == sum(len(exact(t or "")) + 1 for t in kept[3].values())
 
 
+def test_named_rows_stay_before_others_and_repeats_go(spark, documents, tmp_path):
+    good = prose(random.Random(1), 120)
+    near = good.split()
+    near[60] = "changed"
+    docs = documents([(None, good), (5, " ".join(near)), (6, "alone here"), (6, "alone here"), (None, "alone here")])
+    docs = docs.withColumn("_key", docs["shard"])
+    docs.write.parquet(str(tmp_path / "clash"))
+    docs = spark.read.parquet(str(tmp_path / "clash"))
+    kept = corpus_pipeline.near(spark, docs, "")
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect() if len(r["text"]) > 20] == [5] and {r["_key"] for r in kept.collect()} == {"x"}
+    kept = corpus_pipeline.exact(spark, docs, "").collect()
+    assert sorted(map(str, (r["doc_id"] for r in kept))) == ["5", "6", "None"]
+
+
 def test_pipeline_of_nothing(spark, table_dir):
     folder = table_dir(documents=([], DOCS), labels=([], LABELS), benchmark=([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, folder).collect() == []
