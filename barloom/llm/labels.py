@@ -19,7 +19,8 @@ def held_out(id_col: str, folds: int, fold: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, *, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_text, _label of a bounded sample of the labelled documents outside the held-out fold, drawn by a hash of the id.
 
-    Rows without a label or id are left out; of labels repeated for one id the largest counts.
+    Rows without a label or id are left out; of labels repeated for one id the largest counts, and of texts the last in
+    order, so that repeated ids don't pass the bound.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
@@ -27,4 +28,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, folds: int
     if n > max_train:
         known = known.filter((F.xxhash64("_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < F.lit(max_train / n))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return rows.join(F.broadcast(known), "_id").select("_text", "_label")  # about max_train rows of two numbers
+    found = rows.join(F.broadcast(known), "_id")  # about max_train rows of two numbers
+    return found.groupBy("_id").agg(F.max("_text").alias("_text"), F.max("_label").alias("_label")).select("_text", "_label")

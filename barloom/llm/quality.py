@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, text_of
 from .labels import MAX_TRAIN, held_out, training_rows
 
 PAIRS = 40_000
@@ -92,8 +92,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
 
 def score_quality(docs: DataFrame, model: Ranker, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with out_col, 0 to 1. Null texts are empty; empty texts get the score of their features. Rows are independent."""
-    rows = docs.withColumn("_scored", text_of(text_col))
     kept = [c for c in docs.columns if c != out_col]
+    rows = docs.select(*kept, text_of(text_col).alias(free_name(docs, "_scored")))
 
     def score(batches):
         for batch in batches:
@@ -102,7 +102,7 @@ def score_quality(docs: DataFrame, model: Ranker, *, text_col: str = "text", out
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return rows.select(*kept, "_scored").mapInArrow(score, f"{schema}, `{out_col}` double")
+    return rows.mapInArrow(score, f"{schema}, `{out_col}` double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,4 +114,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject, with their columns."""
-    return score_quality(docs, fit_quality(docs, labels), out_col="_score").filter("_score >= 0.5").drop("_score")
+    name = free_name(docs, "_score")
+    return score_quality(docs, fit_quality(docs, labels), out_col=name).filter(F.col(name) >= 0.5).drop(name)

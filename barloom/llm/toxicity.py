@@ -1,9 +1,14 @@
-"""Toxicity: a logistic classifier over words and word beginnings, regularised by counterfactual identity terms."""
+"""Toxicity: a logistic classifier over words and word beginnings, regularised by counterfactual identity terms.
+
+Every labelled sentence has a counterfactual: the identity terms that it names are swapped for others. Where it names
+none, one is put in, and that text, the same with the term swapped, and the sentence as it was should score alike.
+"""
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, text_of
 from .labels import MAX_TRAIN, held_out, training_rows
 
 FOLDS, FOLD = 4, 2
@@ -57,6 +62,17 @@ def swap(words: Counter, terms=IDENTITY_TERMS) -> Counter | None:
     return other
 
 
+def counterfactuals(text: str, words: Counter, terms=IDENTITY_TERMS) -> list[tuple[Counter, Counter]]:
+    """Pairs of texts whose scores should not differ: identity terms and their swap, put in where the text has none."""
+    swapped = swap(words, terms)
+    if swapped:
+        return [(words, swapped)]
+    row = terms[zlib.crc32(text.encode()) % len(terms)]
+    term = row[zlib.crc32(text.encode(), 1) % len(row)]
+    mention = words + Counter([term])
+    return [(mention, swap(mention, terms)), (mention, words)]
+
+
 class Lexicon(dict):
     """word -> the indices of its features among those selected; memory is bounded by starting anew."""
 
@@ -82,8 +98,10 @@ class Lexicon(dict):
 class Model:
     """score = sigmoid(bias + sum of weight * log(1 + count))."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float):
+    def __init__(self, names: list[str], weights: np.ndarray, bias: float, pairs: int = 0):
         self.names, self.weights, self.bias = names, weights.tolist(), bias
+        #: Counterfactual pairs that the fit used.
+        self.pairs = pairs
 
     def scorer(self):
         lexicon, weights, bias = Lexicon(self.names), self.weights, self.bias
@@ -96,32 +114,34 @@ class Model:
 
 
 def _matrix(rows: list[dict[int, int]], n: int) -> np.ndarray:
-    x = np.zeros((len(rows), n))
+    """Rows of log counts, and a last column of ones for the bias."""
+    x = np.zeros((len(rows), n + 1))
+    x[:, n] = 1
     for r, row in enumerate(rows):
-        for i, v in row.items():
-            x[r, i] = math.log1p(v)
+        x[r, list(row)] = np.log1p(list(row.values()))
     return x
 
 
-def solve(x: np.ndarray, y: np.ndarray, d: np.ndarray, l2: float, weight: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Minimise the logistic loss, l2 |w|^2 / 2 and weight |d w|^2 / 2 by accelerated gradient steps; d: rows of changes."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    d1 = np.hstack([d, np.zeros((len(d), 1))])
-    keep = np.append(np.full(x.shape[1], l2), 1e-6)
+def solve(x: np.ndarray, y: np.ndarray, changes: np.ndarray, l2: float, weight: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Minimise the logistic loss, l2 |w|^2 / 2 and weight w' changes w / 2 by accelerated gradient steps.
 
-    def curvature(a: np.ndarray) -> float:  # the largest eigenvalue of a'a by power iteration
-        v = np.random.default_rng(0).normal(size=a.shape[1])
+    x ends in a column of ones; changes is the sum of the outer products of the pairs' differences.
+    """
+    keep = np.append(np.full(x.shape[1] - 1, l2), 1e-6)
+
+    def largest(times) -> float:  # the largest eigenvalue by power iteration
+        v = np.random.default_rng(0).normal(size=x.shape[1])
         for _ in range(30):
-            u = a.T @ (a @ v)
+            u = times(v)
             v = u / (np.linalg.norm(u) + 1e-12)
-        return float(v @ (a.T @ (a @ v)))
+        return float(v @ times(v))
 
-    rate = 1 / (1.05 * (curvature(x1) / 4 + weight * curvature(d1)) + l2)
-    w = v = np.zeros(x1.shape[1])
+    rate = 1 / (1.05 * (largest(lambda v: x.T @ (x @ v)) / 4 + weight * largest(lambda v: changes @ v)) + l2)
+    w = v = np.zeros(x.shape[1])
     t = 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ v, -30, 30)))
-        new = v - rate * (x1.T @ (p - y) + keep * v + weight * (d1.T @ (d1 @ v)))
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        new = v - rate * (x.T @ (p - y) + keep * v + weight * (changes @ v))
         t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
         v, w = new + (last - 1) / t * (new - w), new
     return w[:-1], float(w[-1])
@@ -131,7 +151,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic"
     """Learn from at most about max_train labelled rows.
 
     Features are chosen by how far their share of toxic texts is from the mean, counted by the executors; at most
-    MAX_FEATURES names and the chosen features of the training rows reach the driver. With one class only, every
+    MAX_FEATURES names and the chosen features of the training rows reach the driver. The features of identity_terms
+    are among them whether or not a training text names one, since counterfactuals do. With one class only, every
     text scores that class's share.
     """
     rows = training_rows(docs, labels, label_col, FOLDS, FOLD, max_train=max_train, id_col=id_col, text_col=text_col)
@@ -155,32 +176,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic"
     expected = F.col("n") * F.lit(toxic / n)
     z = F.abs((F.col("bad") - expected) / F.sqrt(expected * (1 - F.col("n") / n) + 1))
     names = [r[0] for r in counts.orderBy(z.desc(), "name").limit(MAX_FEATURES).select("name").collect()]
+    names = list(dict.fromkeys([*names, *(x for row in identity_terms for term in row for x in names_of(term))]))
 
     def measure(batches):
         lexicon = Lexicon(names)
+        kind = pa.map_(pa.int32(), pa.int64())
         for batch in batches:
-            x, other = [], []
+            x, pairs = [], []
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                swapped = swap(words, identity_terms)
                 x.append(list(lexicon.counts(words).items()))
-                other.append(list(lexicon.counts(swapped).items()) if swapped else None)
-            kind = pa.map_(pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(other, kind), batch.column(1)], names=["x", "other", "y"])
-
-    found = rows.mapInArrow(measure, "x map<int,long>, other map<int,long>, y int").collect()
-    found.sort(key=lambda r: (r["y"], sorted(r["x"].items())))  # tasks end in any order
-    x = _matrix([r["x"] for r in found], len(names))
-    pairs = [(r["x"], r["other"]) for r in found if r["other"] is not None]
-    d = _matrix([a for a, _ in pairs], len(names)) - _matrix([b for _, b in pairs], len(names))
-    weights, bias = solve(x, np.array([r["y"] for r in found]), d, L2, counterfactual)
-    return Model(names, weights, bias)
+                pairs.append([list(lexicon.counts(w).items()) for pair in counterfactuals(text, words, identity_terms) for w in pair])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(pairs, pa.list_(kind)), batch.column(1)], names=["x", "pairs", "y"])
+
+    found = rows.mapInArrow(measure, "x map<int,long>, pairs array<map<int,long>>, y int").collect()
+    found.sort(key=lambda r: (r["y"], sorted(r["x"].items()), str(r["pairs"])))  # tasks end in any order
+    changes, used = np.zeros((len(names) + 1,) * 2), 0
+    for at in range(0, len(found), 500):
+        first, second = ([w for r in found[at : at + 500] for w in r["pairs"][k::2]] for k in (0, 1))
+        d = _matrix(first, len(names)) - _matrix(second, len(names))
+        changes += d.T @ d
+        used += len(d)
+    x, y = _matrix([r["x"] for r in found], len(names)), np.array([r["y"] for r in found])
+    del found
+    weights, bias = solve(x, y, changes, L2, counterfactual / max(1, used) * len(x))
+    return Model(names, weights, bias, used)
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with out_col, 0 to 1. Null texts are empty; empty texts get the score of no words. Rows are independent."""
     kept = [c for c in docs.columns if c != out_col]
-    rows = docs.withColumn("_scored", text_of(text_col)).select(*kept, "_scored")
+    rows = docs.select(*kept, text_of(text_col).alias(free_name(docs, "_scored")))
 
     def score(batches):
         of = model.scorer()

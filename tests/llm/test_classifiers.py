@@ -96,15 +96,52 @@ def test_swapping_groups_hardly_moves_a_score(spark, documents):
     assert moved[50.0] < moved[0.0] / 3
 
 
+def test_counterfactuals_of_the_tables_are_at_work(spark):
+    """The tables name no group, so mentions are put in: neutral ones stay harmless, and swaps move no score."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.pairs >= 2 * training_rows(docs, labels, "toxic", toxicity.FOLDS, toxicity.FOLD).count() > 0
+    score = model.scorer()
+    clean = [r["text"] for r in docs.join(labels.filter("toxic = 0"), "doc_id").select("text").limit(60).collect()]
+    for k, text in enumerate(clean):
+        row = toxicity.IDENTITY_TERMS[k % len(toxicity.IDENTITY_TERMS)]
+        scores = [score(f"{text} {term}") for term in row]
+        assert max(scores) - min(scores) < 0.02 and abs(scores[0] - score(text)) < 0.02
+    assert all(score(f"many {term} live here") < 0.3 for row in toxicity.IDENTITY_TERMS for term in row)
+
+
+def test_counterfactuals():
+    (a, b), (c, d) = toxicity.counterfactuals("x y", Counter("xy"))
+    assert a == c and d == Counter("xy") and a - d != b - d and sum(a.values()) == sum(b.values()) == 3
+    assert toxicity.counterfactuals("men", Counter(["men"])) == [(Counter(["men"]), Counter(["woman"]))]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "p", "q"), (2, "c", "r", "s")], "doc_id long, text string, _scored string, _score string")
+    labels = spark.createDataFrame([(1, 1, 1, None), (2, 0, 0, None)], LABELS)
+    scored = toxicity.score_toxicity(docs, toxicity.Model([], np.zeros(0), 0.0))
+    assert scored.columns == ["doc_id", "text", "_scored", "_score", "score"] and {r["_scored"] for r in scored.collect()} == {"p", "r"}
+    kept = quality.keep_quality(docs, labels)
+    assert kept.columns == docs.columns and {r["_score"] for r in kept.collect()} <= {"q", "s"}
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark):
+    docs = spark.createDataFrame([(i % 4, f"t{i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, None, None) for i in range(4)], LABELS)
+    assert training_rows(docs, labels, "quality", 3, 1).count() <= 4
+
+
 def test_swap_and_solver():
     assert toxicity.swap(Counter({"women": 2, "x": 1})) == Counter({"men": 2, "x": 1}) and toxicity.swap(Counter({"x": 1})) is None
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
     y = (rng.random(400) < 1 / (1 + np.exp(-x @ [2, -1, 0.5] - 0.3))).astype(float)
-    w, b = toxicity.solve(x, y, np.zeros((0, 3)), 1e-3, 1.0, steps=3000)
+    x1 = np.hstack([x, np.ones((400, 1))])
+    w, b = toxicity.solve(x1, y, np.zeros((4, 4)), 1e-3, 1.0, steps=3000)
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(x.T @ (p - y) + 1e-3 * w).max() < 1e-3
-    w, _ = toxicity.solve(x, y, np.array([[1.0, -1.0, 0.0]]), 1e-3, 1e4, steps=3000)
+    d = np.array([[1.0, -1.0, 0.0, 0.0]])
+    w, _ = toxicity.solve(x1, y, d.T @ d, 1e-3, 1e4, steps=3000)
     assert abs(w[0] - w[1]) < 0.1
 
 
