@@ -125,8 +125,9 @@ def _matrix(rows: list[dict[int, int]], n: int) -> np.ndarray:
 def solve(x: np.ndarray, y: np.ndarray, changes: np.ndarray, l2: float, weight: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Minimise the logistic loss, l2 |w|^2 / 2 and weight w' changes w / 2 by accelerated gradient steps.
 
-    x ends in a column of ones; changes is the sum of the outer products of the pairs' differences.
+    x ends in a column of ones; changes is the sum of the outer products of the pairs' differences, in the first columns.
     """
+    few = len(changes)
     keep = np.append(np.full(x.shape[1] - 1, l2), 1e-6)
 
     def largest(times) -> float:  # the largest eigenvalue by power iteration
@@ -136,12 +137,14 @@ def solve(x: np.ndarray, y: np.ndarray, changes: np.ndarray, l2: float, weight:
             v = u / (np.linalg.norm(u) + 1e-12)
         return float(v @ times(v))
 
-    rate = 1 / (1.05 * (largest(lambda v: x.T @ (x @ v)) / 4 + weight * largest(lambda v: changes @ v)) + l2)
+    rate = 1 / (1.05 * (largest(lambda v: x.T @ (x @ v)) / 4 + weight * largest(lambda v: np.append(changes @ v[:few], np.zeros(len(v) - few)))) + l2)
     w = v = np.zeros(x.shape[1])
     t = 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - rate * (x.T @ (p - y) + keep * v + weight * (changes @ v))
+        gradient = x.T @ (p - y) + keep * v
+        gradient[:few] += weight * (changes @ v[:few])
+        new = v - rate * gradient
         t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
         v, w = new + (last - 1) / t * (new - w), new
     return w[:-1], float(w[-1])
@@ -176,7 +179,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic"
     expected = F.col("n") * F.lit(toxic / n)
     z = F.abs((F.col("bad") - expected) / F.sqrt(expected * (1 - F.col("n") / n) + 1))
     names = [r[0] for r in counts.orderBy(z.desc(), "name").limit(MAX_FEATURES).select("name").collect()]
-    names = list(dict.fromkeys([*names, *(x for row in identity_terms for term in row for x in names_of(term))]))
+    named = {x for row in identity_terms for term in row for x in names_of(term)}
+    names = [*sorted(named), *(x for x in names if x not in named)]  # a swap changes the counts of the first alone
 
     def measure(batches):
         lexicon = Lexicon(names)
@@ -186,19 +190,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic"
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 x.append(list(lexicon.counts(words).items()))
-                pairs.append([list(lexicon.counts(w).items()) for pair in counterfactuals(text, words, identity_terms) for w in pair])
+                pairs.append([[(i, n) for i, n in lexicon.counts(w).items() if i < len(named)] for pair in counterfactuals(text, words, identity_terms) for w in pair])
             yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(pairs, pa.list_(kind)), batch.column(1)], names=["x", "pairs", "y"])
 
     found = rows.mapInArrow(measure, "x map<int,long>, pairs array<map<int,long>>, y int").collect()
     found.sort(key=lambda r: (r["y"], sorted(r["x"].items()), str(r["pairs"])))  # tasks end in any order
-    changes, used = np.zeros((len(names) + 1,) * 2), 0
-    for at in range(0, len(found), 500):
-        first, second = ([w for r in found[at : at + 500] for w in r["pairs"][k::2]] for k in (0, 1))
-        d = _matrix(first, len(names)) - _matrix(second, len(names))
-        changes += d.T @ d
-        used += len(d)
+    first, second = ([w for r in found for w in r["pairs"][k::2]] for k in (0, 1))
+    d, used = _matrix(first, len(named)) - _matrix(second, len(named)), len(first)
+    changes = d.T @ d
     x, y = _matrix([r["x"] for r in found], len(names)), np.array([r["y"] for r in found])
-    del found
+    del found, first, second, d
     weights, bias = solve(x, y, changes, L2, counterfactual / max(1, used) * len(x))
     return Model(names, weights, bias, used)
 
