@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barloom.llm.packing import best_fit_pack, best_fit_rounds, pack_documents
+from barloom.llm import packing
+from barloom.llm.packing import best_fit_pack, pack_documents
 from barloom.llm.tokens import chunks, default_vocabulary
 from barloom.llm.training_order import feistel, read_training_order, write_training_order
 
@@ -53,23 +54,21 @@ def best_fit_brute(lengths, capacity):
     return len(gaps)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=60))
-def test_rounds_are_best_fit_decreasing(lengths):
-    counts = {x: lengths.count(x) for x in lengths}
-    runs, n = best_fit_rounds(counts, 20)
-    assert n == best_fit_brute(lengths, 20)
-    placed = defaultdict(int)
-    used = defaultdict(list)
-    for count, length, first, offset in runs:
-        placed[length] += count
-        for s in range(first, first + count):
-            used[s].append((offset, offset + length))
-    assert placed == counts
-    for spans in used.values():
-        spans.sort()
-        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][1] <= 20
-    assert len(used) == n
+CASES = [
+    ([], 10), ([10] * 7, 10), ([1] * 95, 10), ([6, 4] * 30 + [7, 3] * 20, 10), ([5] * 31 + [3] * 20 + [2] * 9, 10), (list(range(1, 41)) * 6, 40),
+    ([random.Random(5).randint(1, 300) for _ in range(600)], 300), ([int(40 * random.Random(i).lognormvariate(0, 1)) % 512 + 1 for i in range(600)], 512),
+]
+
+
+@pytest.mark.parametrize(("lengths", "capacity", "part_rows"), [*((*case, 200_000) for case in CASES), *((*case, 150) for case in CASES[3:5] + CASES[7:])])
+def test_rounds_are_nearly_best_fit_decreasing(spark, monkeypatch, lengths, capacity, part_rows):
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
+    items = spark.createDataFrame([(i, x, "old") for i, x in enumerate(lengths)], "i long, n long, offset string")
+    rows = best_fit_pack(items, "n", capacity).collect()
+    assert sorted((r["i"], r["n"]) for r in rows) == list(enumerate(lengths))
+    used = check_packing([{"sequence_id": r["sequence_id"], "offset": r["offset"], "length": r["n"]} for r in rows], capacity)
+    want = best_fit_brute(lengths, capacity)
+    assert used <= max(want + 1, 1.01 * want)
 
 
 def test_pack_documents(documents):
