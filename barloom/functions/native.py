@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.compiler import Compiler, clean, divide
+from ..plans.compiler import Compiler, correlation, divide
 from ..plans.errors import DirectiveValueError
 from ..plans.registry import Argument, average_lookback, m1, period, real, register
 
@@ -798,9 +798,7 @@ def stddev(k, n, times, x):
 def correl(k, n, x, y):
     both = x.isNotNull() & y.isNotNull()
     x, y = k.stage(F.when(both, x)), k.stage(F.when(both, y))
-    r = F.corr(x, y).over(k.rows(n))
-    flat = (F.var_pop(x).over(k.rows(n)) == 0) | (F.var_pop(y).over(k.rows(n)) == 0)
-    return k.full(x, n, F.when(flat, 0.0).otherwise(F.least(F.greatest(F.coalesce(clean(r), F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))))
+    return k.full(x, n, F.coalesce(correlation(x, y, k.rows(n)), F.lit(0.0)))
 
 
 @register("beta", (period(),), ("close", "<other>"), lambda p: p)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import candles, machines, native  # noqa: F401  they register the commands
 from ..plans import compiler as plans
-from ..plans.compiler import Compiler, clean
+from ..plans.compiler import Compiler, clean, correlation
 from . import timeframes
 from .windows import RowWindow, decay, ewm
 
@@ -385,7 +385,7 @@ class BarFrame:
     def corr(self, columns: Sequence[str] | None = None, of: str = "corr") -> DataFrame:
         """Pairs of columns with their correlation, or covariance."""
         names = list(columns or self.numeric)
-        f = F.corr if of == "corr" else F.covar_samp
+        f = correlation if of == "corr" else F.covar_samp
         values = {c: clean(F.col(c).cast("double")) for c in names}
 
         def pair(a: str, b: str) -> Column:  # rows where both are present

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..plans.compiler import Compiler, clean
+from ..plans.compiler import Compiler, clean, correlation
 
 
 class RowWindow:
@@ -106,7 +106,7 @@ class RowWindow:
 
     def corr(self, x: Column, y: Column) -> Column:
         x, y = self._pair(x, y)
-        return self.gate(x, clean(F.corr(x, y).over(self.frame)), 2)
+        return self.gate(x, correlation(x, y, self.frame), 2)
 
 
 def decay(com: float | None = None, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> float:

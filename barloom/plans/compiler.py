@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import language as L
@@ -35,6 +35,12 @@ def number_text(value) -> str:
     return str(int(value)) if isinstance(value, float) and value.is_integer() and abs(value) < 1 << 53 else str(value)
 
 
+def correlation(x: Column, y: Column, frame: WindowSpec | None = None) -> Column:
+    """Pearson's, over a frame or a group; missing where a side is constant, for which the built-in one divides by zero."""
+    cov, a, b = (c if frame is None else c.over(frame) for c in (F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)))
+    return F.when((a > 0) & (b > 0), F.least(F.greatest(clean(F.try_divide(cov, F.sqrt(a) * F.sqrt(b))), F.lit(-1.0)), F.lit(1.0)))
+
+
 class Compiler:
     """Grows a frame by temporary columns. key: partition columns; order: columns that order the rows of a key."""
 

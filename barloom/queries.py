@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.frame import BarFrame
@@ -19,7 +19,7 @@ STEPS = 1e5
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type", "value")
 
 
 def hourly(spark: SparkSession, sf_dir: str, frame: str = "1h") -> BarFrame:
@@ -289,36 +289,14 @@ def rsi_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.df.select("sym", "ts", "rsi14", "atr14", "natr14"))
 
 
-def _groups() -> dict[str, list[str]]:
-    from .functions import candles, machines, native  # noqa: F401
-    from .plans.registry import COMMANDS
+def _unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines without SQL: the cycles of Hilbert's transform, and hikkake."""
+    titles = ("mama", "mama.fama", "ht_dcperiod", "ht_dcphase", "ht_phasor", "ht_phasor.quadrature", "ht_sine", "ht_sine.leadsine", "ht_trendline", "ht_trendmode", "cdl.hikkake", "cdl.hikkakemod")
+    named = {t.replace(".", "_"): t for t in titles}
+    return daily(spark, sf_dir).indicators(named).df.select("sym", "ts", *named)
 
-    shown: dict[str, list[str]] = {}
-    for spec in COMMANDS.values():
-        if any(s.startswith("<") for s in spec.series):
-            continue
-        kind = "candlesticks" if spec.name == "cdl" else spec.kind
-        shown.setdefault(kind, []).append(spec.title)
-    return shown
 
-
-def _all_of(kind: str, part: int, size: int):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .plans.registry import COMMANDS, REQUIRED
-
-        titles = _groups()[kind][part * size : (part + 1) * size]
-        needs = {s.title: ",".join("10" if a.default is REQUIRED else "" for a in s.args) for s in COMMANDS.values()}
-        named = {t.replace(".", "_").replace("3", "three_").replace("2", "two_"): t + (f":{needs[t]}" if needs[t].strip(",") else "") for t in titles}
-        made = daily(spark, sf_dir).indicators(named)
-        return made.df.select("sym", "ts", *named)
-
-    return run
-
-
-#: Every command line at work, a group to a query; values are compared with plain Python in the tests.
-for _kind, _count in (("recursive", 3), ("candlesticks", 4)):
-    for _part in range(_count):
-        query(f"all_{_kind}_{_part}")(_all_of(_kind, _part, 25 if _kind == "recursive" else 17))
+query("cycles_and_hikkakes")(_unpaired)
 
 
 # The pandas-like surface
@@ -328,8 +306,8 @@ _W = "PARTITION BY user_id ORDER BY ts, event_id"
 
 @query("shift_diff", f"SELECT user_id, ts, event_id, lag(value) OVER w AS shifted, {cut('value - lag(value, 2) OVER w')} AS differed, lead(value) OVER w AS led FROM events WINDOW w AS ({_W})")
 def shift_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ticks(spark, sf_dir)
-    rows = f.assign(shifted=F.lag("value").over(f.w), differed=F.col("value") - F.lag("value", 2).over(f.w), led=F.lead("value").over(f.w))
+    f = ticks(spark, sf_dir).assign(shifted=F.col("value"), differed=F.col("value"), led=F.col("value"))
+    rows = f.shift(1, ["shifted"]).diff(2, ["differed"]).shift(-1, ["led"])
     return rows.df.select("user_id", "ts", "event_id", "shifted", (F.floor(F.col("differed") * STEPS + 0.37) / STEPS).alias("differed"), "led")
 
 
@@ -372,9 +350,9 @@ _surface("expanding_aggregates", _expanding, {"s": _gate_c("sum(value) OVER c"),
 
 @query("running_values", f"SELECT user_id, ts, event_id, {cut('sum(value) OVER c')} AS total, max(value) OVER c AS top, min(value) OVER c AS bottom FROM events WINDOW c AS ({_W} ROWS UNBOUNDED PRECEDING)")
 def running_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ticks(spark, sf_dir)
-    back = f.w.rowsBetween(Window.unboundedPreceding, 0)
-    return f.df.select("user_id", "ts", "event_id", (F.floor(F.sum("value").over(back) * STEPS + 0.37) / STEPS).alias("total"), F.max("value").over(back).alias("top"), F.min("value").over(back).alias("bottom"))
+    f = ticks(spark, sf_dir).assign(total=F.col("value"), top=F.col("value"), bottom=F.col("value"))
+    rows = f.cumsum(["total"]).cummax(["top"]).cummin(["bottom"])
+    return rows.df.select("user_id", "ts", "event_id", (F.floor(F.col("total") * STEPS + 0.37) / STEPS).alias("total"), "top", "bottom")
 
 
 @query(
@@ -444,10 +422,9 @@ def elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.arithmetic import between
 
     v = F.col("value")
-    return rounded(events(spark, sf_dir).select("event_id", F.abs(v - 50).alias("a"), F.least(F.greatest(v, F.lit(20.0)), F.lit(80.0)).alias("c"), F.sqrt(F.abs(v)).alias("s"), F.ln(F.abs(v) + 1).alias("l"), F.sin(v).alias("i"), between(v, 20, 80).alias("b")))
+    f = ticks(spark, sf_dir).assign(a=v - 50, c=v, s=F.abs(v), l=F.abs(v) + 1, i=v, b=between(v, 20, 80))
+    f = f.abs(["a"]).clip(20.0, 80.0, ["c"]).math("sqrt", ["s"]).math("ln", ["l"]).math("sin", ["i"])
+    return rounded(f.df.select("event_id", "a", "c", "s", "l", "i", "b"))
 
 
-@query("ewm_means")
-def ewm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ticks(spark, sf_dir).assign(m=F.col("value"))
-    return rounded(f.ewm("mean", ["m"], span=10).df.select("user_id", "ts", "event_id", "m"))
+from . import catalog  # noqa: E402, F401  registers the queries of all other lines and methods
