@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +131,8 @@ def _chunks(items: DataFrame, id_col: str, text_col: str, window: int, limit: in
 
 
 def _automata(items: DataFrame, id_col: str, text_col: str, window: int, limit: int):
-    """A function that yields the automata in a worker: one is broadcast, of a checked size; several lie in the shared folder."""
+    """A function that yields the automata in a worker, and whether there are several: one is broadcast, of a checked size; several lie in
+    the shared folder."""
     import pyarrow.fs
 
     spark = items.sparkSession
@@ -138,7 +140,7 @@ def _automata(items: DataFrame, id_col: str, text_col: str, window: int, limit:
     first, second = next(made, None), next(made, None)
     if second is None:
         held = spark.sparkContext.broadcast(pickle.dumps([first] if first else []))
-        return _from_broadcast(held)
+        return _from_broadcast(held), False
     folder, paths = scratch(spark, "automata"), []
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
@@ -153,7 +155,7 @@ def _automata(items: DataFrame, id_col: str, text_col: str, window: int, limit:
             with fs.open_input_file(path) as f:
                 yield pickle.loads(f.read())
 
-    return load
+    return load, True
 
 
 def _from_broadcast(held):
@@ -179,7 +181,31 @@ def _scan_batches(load, ids: list, texts: list):
     return zip(ids, words, hits, items, strict=True)
 
 
-SLICE = 256  # texts whose words are in memory at once
+#: Texts whose words are in memory at once, where one automaton is held; and bytes of texts, where several are read in turn.
+SLICE = 256
+SLICE_BYTES = 16 << 20
+
+
+def _slices(batches, column: int, several: bool):
+    """The rows in batches of SLICE texts, or, so that automata are read once for many texts, of about SLICE_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        if not several:
+            yield from (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))
+            continue
+        ends = pc.cumulative_sum(pc.cast(pc.coalesce(pc.binary_length(batch.column(column)), 0), pa.int64())).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(batch.num_rows, int(np.searchsorted(ends, before + SLICE_BYTES - size)) + 1)
+            held.append(batch.slice(at, end - at))
+            size += int(ends[end - 1]) - before
+            at = end
+            if size >= SLICE_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if size or any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
@@ -190,21 +216,19 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
     Repeated rows are separate; equal items are all listed. Empty tables give no rows, or no hits.
     Only the columns named are read.
     """
-    load = _automata(items, item_id, item_text, window, automaton_words)
+    load, several = _automata(items, item_id, item_text, window, automaton_words)
 
     def scan(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [
-                    (i, len(w), int(h.sum()), sorted({"" if x is None else str(x) for x in found}))
-                    for i, w, h, found in _scan_batches(load, part.column(0).to_pylist(), part.column(1).to_pylist())
-                ]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.string()))],
-                    names=[id_col, "n_words", "n_hit", "items"],
-                )
+        for part in _slices(batches, 1, several):
+            rows = [
+                (i, len(w), int(h.sum()), sorted({"" if x is None else str(x) for x in found}))
+                for i, w, h, found in _scan_batches(load, part.column(0).to_pylist(), part.column(1).to_pylist())
+            ]
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], part.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.string()))],
+                names=[id_col, "n_words", "n_hit", "items"],
+            )
 
     rows = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
     out = rows.mapInArrow(scan, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
@@ -231,29 +255,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_co
     together, so a changed text is scanned again until nothing is hit. Rows without hits, among them null and empty
     texts, stay as they are.
     """
-    load = _automata(items, item_id, item_text, window, automaton_words)
+    load, several = _automata(items, item_id, item_text, window, automaton_words)
     at = docs.columns.index(text_col)
     schema = docs.schema
 
     def clean(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                texts = part.column(at).to_pylist()
-                todo, dropped = list(range(len(texts))), set()
-                first = True
-                while todo:
-                    again = []
-                    for i, words, hit, _ in _scan_batches(load, todo, [texts[i] for i in todo]):
-                        if hit.any():
-                            if first and hit.sum() > max_coverage * len(words):
-                                dropped.add(i)
-                            else:
-                                texts[i] = _cut(texts[i], hit)
-                                again.append(i)
-                    todo, first = again, False
-                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-                yield part.filter(pa.array([i not in dropped for i in range(len(texts))]))
+        for part in _slices(batches, at, several):
+            texts = part.column(at).to_pylist()
+            todo, dropped = list(range(len(texts))), set()
+            first = True
+            while todo:
+                again = []
+                for i, words, hit, _ in _scan_batches(load, todo, [texts[i] for i in todo]):
+                    if hit.any():
+                        if first and hit.sum() > max_coverage * len(words):
+                            dropped.add(i)
+                        else:
+                            texts[i] = _cut(texts[i], hit)
+                            again.append(i)
+                todo, first = again, False
+            part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+            yield part.filter(pa.array([i not in dropped for i in range(len(texts))]))
 
     return docs.mapInArrow(clean, schema)
 
