@@ -55,6 +55,8 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 #: Rows of a group from which on it is hot. There are at most so many times fewer hot groups than rows.
 HOT_ROWS = 10_000
+#: Groups that may be broadcast with their columns, at up to 150 bytes each: 15 MB.
+BROADCAST_GROUPS = 100_000
 
 
 def left_join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
@@ -63,11 +65,11 @@ def left_join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count:
     A few groups are broadcast. Of many, only the hot ones are, so that rows of a hot key are not dealt by it, and the
     rest are dealt by key. Keys have no nulls. groups is read several times, as a table.
     """
-    if small(groups):
+    if small(groups, BROADCAST_GROUPS):
         return rows.join(F.broadcast(groups), keys, "left")
     hot = groups.filter(F.col(count) > HOT_ROWS)
     others = [c for c in groups.columns if c not in keys]
-    first = rows.join(maybe_broadcast(hot), keys, "left")
+    first = rows.join(maybe_broadcast(hot, BROADCAST_GROUPS), keys, "left")
     rest = first.filter(F.col(count).isNull()).drop(*others).join(groups.filter(F.col(count) <= HOT_ROWS), keys, "left")
     return first.filter(F.col(count).isNotNull()).select(*rest.columns).unionAll(rest)
 

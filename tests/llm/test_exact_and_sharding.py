@@ -34,9 +34,7 @@ def test_exact_dedup(documents, broadcast_rows, digest_all):
 
 def test_many_groups_are_joined_without_a_hot_task(documents, monkeypatch):
     want = sorted(map(str, exact_dedup(documents(CASES)).collect()))
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(common.small, "__defaults__", (1,))
-    monkeypatch.setattr(common.maybe_broadcast, "__defaults__", (1,))
+    monkeypatch.setattr(common, "BROADCAST_GROUPS", 1)
     monkeypatch.setattr(common, "HOT_ROWS", 2)
     assert sorted(map(str, exact_dedup(documents(CASES), broadcast_rows=0).collect())) == want
 
