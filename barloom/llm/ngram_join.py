@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, small, text_of, written
+from .common import left_join_groups, maybe_broadcast, small, text_of, written
 from .components import connected_components
 
 #: A list up to this long makes all its pairs at once.
@@ -40,6 +40,10 @@ LARGE_BITS = 16_384
 LARGE = 1_200
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 1 << 20
+#: Logarithm of how many texts hold an n-gram whose list is cut into parts of about so many; and of a part's entries, one in
+#: how many stands for its list in all other parts.
+HOT_LEVEL = 17
+ANCHOR = 512
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
@@ -191,10 +195,17 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype="u4")
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers among sorted ones, and how often each occurs."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+    return values[at], np.diff(np.append(at, len(values)))
+
+
 def _frequent(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams (first 32 bits, sorted) that many texts hold, and the logarithm of how many.
 
-    All texts are counted, by a shuffle of sorted, compressed hashes. The order they give needs only to be the same
+    All texts are counted, by a shuffle of sorted, compressed hashes; each is sent once for some millions, with its
+    count, so that an n-gram of all texts is a few numbers in its bucket. The order they give needs only to be the same
     everywhere, so what a bound leaves out or two n-grams with one hash cost time, not results.
     """
     buckets = max(16, total // COUNTED)
@@ -204,10 +215,11 @@ def _frequent(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarr
         held, size = [], 0
 
         def flush():
-            values = np.sort(np.concatenate(held))
+            values, times = _runs(np.sort(np.concatenate(held)))
             cuts = np.searchsorted(values, np.arange(1, buckets, dtype="u8") * np.uint64(width))
-            blobs = [(k, _pack(part)) for k, part in enumerate(np.split(values, cuts)) if len(part)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["bucket", "blob"])
+            parts = [(k, v, t - 1) for k, (v, t) in enumerate(zip(np.split(values, cuts), np.split(times, cuts), strict=True)) if len(v)]
+            columns = [_pack(v) for _, v, _ in parts], [_pack(v[t > 0]) for _, v, t in parts], [_pack(np.cumsum(t[t > 0], dtype="u4")) for _, _, t in parts]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "blob", "again", "times"])
 
         for batch in batches:
             for _, texts in _texts(batch, 1):
@@ -221,15 +233,16 @@ def _frequent(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarr
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
-        values = np.sort(np.concatenate([_unpack(b.as_py()) for b in table.column("blob")]))
-        at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        counts = np.diff(np.append(at, len(values)))
+        values, counts = _runs(np.sort(np.concatenate([_unpack(b.as_py()) for b in table.column("blob")])))
+        again = np.concatenate([_unpack(b.as_py()) for b in table.column("again")])
+        times = np.concatenate([np.diff(_unpack(b.as_py()), prepend=np.uint32(0)) for b in table.column("times")])
+        counts = counts + np.bincount(np.searchsorted(values, again), weights=times, minlength=len(values)).astype("i8")
         keep = counts >= FREQUENT
-        found, level = values[at[keep]], np.log2(counts[keep]).astype("u1")
+        found, level = values[keep], np.log2(counts[keep]).astype("u1")
         levels = [int(x) for x in np.unique(level)]
         return pa.table({"level": pa.array(levels, pa.int32()), "n": pa.array([int((level == x).sum()) for x in levels], pa.int64()), "grams": pa.array([found[level == x].astype("<u4").tobytes() for x in levels], pa.binary())})
 
-    counted = written(rows.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(count, "level int, n long, grams binary"), "frequent")
+    counted = written(rows.mapInArrow(deal, "bucket int, blob binary, again binary, times binary").groupBy("bucket").applyInArrow(count, "level int, n long, grams binary"), "frequent")
     room, least = MAX_FREQUENT, 99
     for level, m in counted.groupBy("level").agg(F.sum("n")).orderBy(F.desc("level")).collect():
         if m > room:
@@ -247,27 +260,50 @@ def _frequent(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarr
 _POSTING = [("gram", "<u8"), ("node", "<i8"), ("size", "<u4"), ("like", "<u4")]
 
 
+def _in_parts(postings: np.ndarray, level: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of hot n-grams and their buckets, from buckets on: a list's part by node, some nodes in all parts."""
+    parts = np.uint64(1) << (level.astype("u8") - np.uint64(HOT_LEVEL) + np.uint64(1))
+    name = mix(postings["node"].astype("u8"))
+    part = name % parts
+    anchors = np.flatnonzero(mix(name ^ np.uint64(0x2545F4914F6CDD1D)) % (parts * np.uint64(ANCHOR)) == 0)
+    all_ = np.concatenate([np.arange(len(postings)), np.repeat(anchors, parts[anchors].astype("i8"))])
+    part = np.concatenate([part, *(np.arange(parts[i], dtype="u8") for i in anchors)])
+    return postings[all_], (np.uint64(buckets) + (mix(postings["gram"][all_]) % np.uint64(buckets) + part) % np.uint64(buckets)).astype("i4")
+
+
 def _short_lists(rows: DataFrame, n: int, percent: int, total: int, frequent) -> DataFrame:
-    """Postings of each node's rarest n-grams, in blobs by bucket of n-grams. A partition names a node once."""
+    """Postings of each node's rarest n-grams, in blobs by bucket of n-grams. A partition names a node once.
+
+    The list of an n-gram told to be in 2^HOT_LEVEL texts or more is dealt in parts by node, so that no task gets all of it;
+    each part counts as a long list, whatever its length, which leaves the pairs of different parts to the comparison of
+    long lists. A few nodes lie in all parts: what is like them becomes one component through them. An n-gram that is
+    not told is in fewer than FREQUENT texts, or 2 * total / MAX_FREQUENT.
+    """
     buckets = max(16, total * (100 - percent) // 100 // POSTINGS)
     told = rows.sparkSession.sparkContext.broadcast(frequent)  # at most MAX_FREQUENT of 5 bytes
 
-    def rarest(grams: np.ndarray) -> np.ndarray:
+    def rarest(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = len(grams) - _required(len(grams), percent) + 1
         if not len(told.value[0]):
-            return grams[:size]
+            return grams[:size], np.zeros(size, "u1")
         short = (grams >> np.uint64(32)).astype("u4")
         at = np.minimum(np.searchsorted(told.value[0], short), len(told.value[0]) - 1)
         level = np.where(told.value[0][at] == short, told.value[1][at], 0)
-        return grams[np.argsort(level, kind="stable")[:size]] if level[:size].any() else grams[:size]
+        order = np.argsort(level, kind="stable")[:size] if level[:size].any() else slice(size)
+        return grams[order], level[order]
 
     def deal(batches):
         seen: set[int] = set()
-        held, size = [], 0
+        held, levels, size = [], [], 0
 
         def flush():
-            all_ = np.concatenate(held)
+            all_, level = np.concatenate(held), np.concatenate(levels)
             bucket = (all_["gram"] % np.uint64(buckets)).astype("i4")
+            hot = np.flatnonzero(level >= HOT_LEVEL)
+            if len(hot):
+                more, moved = _in_parts(all_[hot], level[hot], buckets)
+                cool = level < HOT_LEVEL
+                all_, bucket = np.concatenate([all_[cool], more]), np.concatenate([bucket[cool], moved])
             order = np.argsort(bucket, kind="stable")
             all_, bucket = all_[order], bucket[order]
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -280,28 +316,31 @@ def _short_lists(rows: DataFrame, n: int, percent: int, total: int, frequent) ->
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    own = rarest(grams)
+                    own, level = rarest(grams)
                     postings = np.empty(len(own), _POSTING)
                     postings["gram"], postings["node"], postings["size"] = own, node, len(grams)
                     postings["like"] = mix(grams ^ np.uint64(0x5851F42D4C957F2D)).min() >> np.uint64(32)
                     held.append(postings)
+                    levels.append(level)
                     size += len(own)
                     if size >= 2 * POSTINGS:
                         yield flush()
-                        held, size = [], 0
+                        held, levels, size = [], [], 0
         if size:
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
         p = np.concatenate([np.frombuffer(b.as_py(), _POSTING) for b in table.column("blob")])
-        p = p[np.argsort(p["gram"], kind="stable")]
-        same = p["gram"][1:] == p["gram"][:-1]
-        p = p[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # lists of one end here
+        hot = table.column("bucket")[0].as_py() >= buckets
+        if not hot:
+            p = p[np.argsort(p["gram"], kind="stable")]
+            same = p["gram"][1:] == p["gram"][:-1]
+            p = p[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # lists of one end here
         p = p[np.lexsort((p["node"], p["size"], p["like"], p["gram"]))]
         if len(p):
             p = p[np.concatenate([[True], (p["gram"][1:] != p["gram"][:-1]) | (p["node"][1:] != p["node"][:-1])])]
         at = np.flatnonzero(np.concatenate([[True], p["gram"][1:] != p["gram"][:-1]])) if len(p) else np.zeros(0, int)
-        length = np.repeat(np.diff(np.append(at, len(p))), np.diff(np.append(at, len(p))))
+        length = np.repeat(np.diff(np.append(at, len(p))), np.diff(np.append(at, len(p)))) if not hot else np.full(len(p), SHORT_LIST + 1)
         pairs = []
         for step in range(1, SHORT_LIST):
             near = (p["gram"][step:] == p["gram"][:-step]) & ((length[step:] <= SHORT_LIST) | (step <= NEIGHBOURS))
@@ -345,7 +384,8 @@ def _across(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """
     mixed = lists.groupBy("gram").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.count(F.lit(1)).alias("_m")).filter("_r <> _s")
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    rows = lists.join(mixed.select("gram", blocks.alias("_blocks")), "gram").join(first.select("node", "sketch"), "node")
+    mixed = written(mixed.select("gram", "_m", blocks.alias("_blocks")), "mixed")
+    rows = left_join_groups(lists, mixed, ["gram"], "_m").filter("_m IS NOT NULL").join(first.select("node", "sketch"), "node")
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("gram", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "_block", "node", "size", "root", "sketch")
     keys = ["gram", "low", "high"]
@@ -444,7 +484,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str =
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
         return nodes.select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id"))
-    first = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.xxhash64("_id")).alias("_first"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    first = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.xxhash64("_id")).alias("_first"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("_n"))
     first = written(first, "sketches")
     lists = _short_lists(rows, n, percent, total, _frequent(rows, n, total))
 
@@ -460,7 +500,11 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str =
         if not small(across, 0):
             links = links.unionAll(_probe(rows, first, across, n, percent))
             parts = connected_components(links)
-    placed = nodes.join(parts, "node", "left").select("_id", "n_shingles", F.coalesce("root", "node").alias("_root"))
-    placed = written(placed, "placed")
-    least = placed.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("_id").alias("_least"))
-    return placed.join(least, "_root", "left").select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_root").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("component_id"))
+    linked = written(parts.join(first.select("node", "_n"), "node"), "linked")
+    placed = left_join_groups(nodes.filter("node IS NOT NULL").select("_id", "n_shingles", "node"), linked, ["node"], "_n")
+    placed = written(placed.select("_id", "n_shingles", F.coalesce("root", "node").alias("_root")), "placed")
+    least = written(placed.groupBy("_root").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_m")).filter("_m > 1"), "least")
+    found = left_join_groups(placed, least, ["_root"], "_m")  # a component may hold a third of all rows
+    found = found.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_m").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("component_id"))
+    empty = nodes.filter("node IS NULL").select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id"))
+    return found.unionAll(empty)

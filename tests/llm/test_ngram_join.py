@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from barloom.llm import common
 from barloom.llm import ngram_join as N
 from barloom.llm.components import connected_components
 
@@ -64,6 +65,39 @@ def test_join_equals_brute_force(documents, monkeypatch, seed, n, percent, block
     assert got == brute(docs, n, percent)
 
 
+@pytest.mark.parametrize("anchor", [1, 1 << 20])
+def test_hot_lists_and_components(documents, monkeypatch, anchor):
+    """Lists cut into parts, and groups too many to broadcast, give the same components."""
+    monkeypatch.setattr(N, "FREQUENT", 2)
+    monkeypatch.setattr(N, "HOT_LEVEL", 2)
+    monkeypatch.setattr(N, "ANCHOR", anchor)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    monkeypatch.setattr(common, "BROADCAST_GROUPS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    docs = corpus(4) + [(1, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.ngram_join(documents(docs), n=3, percent=80).collect()}
+    assert got == brute(docs, 3, 80)
+
+
+def test_parts_of_hot_lists():
+    postings = np.zeros(40_000, N._POSTING)
+    postings["gram"], postings["node"] = 77, np.arange(40_000)
+    level = np.full(40_000, N.HOT_LEVEL + 2, "u1")
+    dealt, bucket = N._in_parts(postings, level, 16)
+    assert bucket.min() >= 16 and len(np.unique(bucket)) == 8 and np.bincount(bucket).max() < 6000
+    assert np.array_equal(np.unique(dealt["node"]), postings["node"])
+    nodes, times = np.unique(dealt["node"], return_counts=True)
+    assert set(times) == {1, 9}  # its own part, and each once more
+
+
+def test_runs():
+    for values in ([], [5], [1, 1, 2, 9, 9, 9]):
+        got = N._runs(np.array(values, "u4"))
+        want = np.unique(np.array(values, "u4"), return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert len(N._unpack(N._pack(np.zeros(0, "u4")))) == 0
+
+
 @pytest.mark.parametrize("docs", [[], [(1, None), (2, "")], [(7, "a b c d")] * 3, [(None, "a b c d"), (4, "a b c d"), (9, "q")]])
 def test_edges(documents, docs):
     rows = N.ngram_join(documents(docs), n=3, percent=90).collect()
