@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INF = float("inf")
 
 
+def _whole(f: Callable[[Column], Column], c: Column) -> Column:
+    c = c.cast("double")
+    return F.when(F.abs(c) < 2.0**52, f(c).cast("double")).otherwise(c)
+
+
+def floor(c: Column) -> Column:
+    """The floor as a float: NaN, the infinities and floats too large for a fraction stay, where Spark's own makes longs of them."""
+    return _whole(F.floor, c)
+
+
+def ceil(c: Column) -> Column:
+    return _whole(F.ceil, c)
+
+
+def logarithm(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """IEEE: the logarithm of 0 is -infinity and that of a number below is NaN, where Spark's own are missing."""
+    return lambda c: F.when(c == 0, F.lit(-INF)).when(c < 0, F.lit(float("nan"))).otherwise(f(c))
+
+
 def true_divide(a: Column, b: Column) -> Column:
     """a / b as floats: x / 0 is an infinity, 0 / 0 is NaN, missing stays missing."""
     a, b = a.cast("double"), b.cast("double")

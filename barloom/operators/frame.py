@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import candles, machines, native  # noqa: F401  they register the commands
 from ..plans import compiler as plans
 from ..plans.compiler import Compiler, clean, correlation
+from . import arithmetic as A
 from . import timeframes
 from .windows import RowWindow, decay, ewm
 
 NUMBERS = ("byte", "short", "integer", "long", "float", "double")
-MATH = {n: getattr(F, n) for n in "acos asin atan ceil cos cosh exp floor ln log10 sin sinh sqrt tan tanh".split()}
+MATH = {n: getattr(F, n) for n in "acos asin atan cos cosh exp sin sinh sqrt tan tanh".split()} | {"ceil": A.ceil, "floor": A.floor, "ln": A.logarithm(F.ln), "log10": A.logarithm(F.log10)}
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.arithmetic import floor
 from .operators.frame import BarFrame
 from .operators.timeframes import FRAMES, bars_of_ticks
 
@@ -64,7 +65,7 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, steps: float = STEPS) -> DataFrame:
-    return df.select(*((F.floor(F.col(c) * steps + 0.37) / steps).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+    return df.select(*((floor(F.col(c) * steps + 0.37) / steps).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def daily_query(name: str, directives: dict[str, str], sql: dict[str, str] | None, with_: str = "", source: str = "d", steps: float = STEPS) -> None:
