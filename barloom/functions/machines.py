@@ -930,3 +930,34 @@ class Ewm:
         cov = self.xy if self.bias else self.xy * room / spare if spare > 0 else None
         corr = self.xy / math.sqrt(self.xx * self.yy) if self.xx > 0 and self.yy > 0 else None
         return (self.mx, self.total, cov, corr, float(self.n))
+
+
+@machine
+class EwmSum:
+    """Exponentially weighted sum and the count so far of x, in rows that have y too. NaN is missing.
+
+    The newest values are weighed by powers and added oldest first, as the sum is defined, onto what all older ones come to:
+    a sum of few decimals often lies on a tie of the digits shown, where a running product would round to the other side.
+    """
+
+    NEWEST = 64
+
+    def __init__(self, alpha: float, ignore_na: bool):
+        self.keep, self.ignore = 1 - alpha, ignore_na
+        self.weights = [self.keep**age for age in range(self.NEWEST, -1, -1)]
+        self.n, self.older, self.values = 0, 0.0, deque()
+
+    def step(self, x: float, y: float):
+        there = x == x and y == y
+        if there or self.n and not self.ignore:
+            self.values.append(x if there else 0.0)
+            if len(self.values) > self.NEWEST:
+                self.older = self.older * self.keep + self.values.popleft()
+        self.n += there
+        if not self.n:
+            return None
+        first, *weights = self.weights[self.NEWEST - len(self.values) :]
+        total = self.older * first
+        for value, weight in zip(self.values, weights, strict=True):
+            total += value * weight
+        return (total, float(self.n))

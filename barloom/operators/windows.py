@@ -122,13 +122,13 @@ def decay(com: float | None = None, span: float | None = None, halflife: float |
 
 def ewm(k: Compiler, c: Column, of: str, alpha: float, *, other: Column | None = None, min_periods: int = 0, adjust: bool = True, ignore_na: bool = False, bias: bool = False) -> Column:
     """mean, sum, var, std, cov or corr with weights that fall by alpha a row; a machine of the compiler's ordered pass."""
-    out = {"mean": 0, "sum": 1, "var": 2, "std": 2, "cov": 2, "corr": 3}[of]
+    out = {"mean": 0, "sum": 0, "var": 2, "std": 2, "cov": 2, "corr": 3}[of]
     if of == "sum" and not adjust:
         raise ValueError("sum needs adjust=True")
     x, y = clean(c), clean(other if other is not None else c)
-    value = k.machine("ewm", (alpha, adjust, ignore_na, bias), F.coalesce(x, F.lit(float("nan"))), F.coalesce(y, F.lit(float("nan"))), out=out)
-    value = clean(value)
-    seen = k.machine("ewm", (alpha, adjust, ignore_na, bias), F.coalesce(x, F.lit(float("nan"))), F.coalesce(y, F.lit(float("nan"))), out=4)
+    x, y = (F.coalesce(v, F.lit(float("nan"))) for v in (x, y))
+    name, args, count = ("ewmsum", (alpha, ignore_na), 1) if of == "sum" else ("ewm", (alpha, adjust, ignore_na, bias), 4)
+    value, seen = clean(k.machine(name, args, x, y, out=out)), k.machine(name, args, x, y, out=count)
     value = F.when(seen >= min_periods, value)
     return F.sqrt(value) if of == "std" else value
 

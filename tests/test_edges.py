@@ -3,13 +3,14 @@
 import datetime as dt
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators.frame import BarFrame
 from barloom.queries import QUERIES, SQL
 
-from .test_frame import column
+from .test_frame import column, same
 
 
 @pytest.fixture
@@ -32,6 +33,8 @@ def differences(spark, tmp_path):
 
 
 AT = dt.datetime(2024, 1, 5)
+#: The decayed sum by 0.3 lies on a tie of the digits shown.
+TIES = [[18.93, 132.49, 31.88, 81.58, 16.34], [9.73, 114.83, 17.0, 7.58, 40.11], [39.93, 60.59, 3.26, 46.69, 30.54]]
 
 
 def test_math_out_of_domain(differences):
@@ -46,3 +49,17 @@ def test_math_of_odd_floats(spark):
     assert made["floor"] == ["nan", "inf", "-inf", "1e+300", "-3.0", "0.0", "None"]
     assert made["ceil"] == ["nan", "inf", "-inf", "1e+300", "-2.0", "0.0", "None"]
     assert made["ln"][:3] + made["ln"][4:] == made["log10"][:3] + made["log10"][4:] == ["nan", "inf", "nan", "nan", "-inf", "None"]
+
+
+@pytest.mark.parametrize("values", TIES)
+def test_ewm_sum_on_ties(differences, values):
+    assert differences("ewm_all", [(1, AT + dt.timedelta(hours=i), v) for i, v in enumerate(values)]) == [[], []]
+
+
+@pytest.mark.parametrize("ignore_na", [True, False])
+def test_ewm_sum_of_long_series(spark, ignore_na):
+    values = [None if i in (0, 1, 7, 8, 90, 199) else round(i * 37.91 % 53, 2) for i in range(200)]
+    frame = BarFrame(spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, ts int, v double"), ("k",))
+    for alpha in (0.3, 0.01):
+        want = pd.Series(values, dtype=float).ewm(alpha=alpha, ignore_na=ignore_na).sum().tolist()
+        same(column(frame.ewm("sum", ["v"], alpha=alpha, ignore_na=ignore_na), "v"), want)
