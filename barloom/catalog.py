@@ -684,7 +684,7 @@ def _times(f: BarFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     made = {f"p_{n}": D.part(n, F.col("ts")) for n in _TIMES} | {"p_value": D.part("value", F.col("ts")) / 1000}
     made |= {"iso_year": D.part("isocalendar", F.col("ts"))["year"], "iso_week": D.part("isocalendar", F.col("ts"))["week"], "text": D.strftime(F.col("ts"), "%Y/%m/%d %H:%M:%S day %j %a %b")}
-    made |= {"low": D.grid(ts, "15min", "floor"), "top": D.grid(ts, "2h", "ceil"), "near": D.grid(ts, "10s", "round"), "parsed": D.to_datetime(D.strftime(F.col("ts"), "%Y-%m-%d %H:%M:%S")), "epoch": D.to_datetime(F.unix_micros(ts), "us", numeric=True)}
+    made |= {"low": D.grid(ts, "15min", "floor"), "top": D.grid(ts, "2h", "ceil"), "near": D.grid(ts, "10s", "away"), "parsed": D.to_datetime(D.strftime(F.col("ts"), "%Y-%m-%d %H:%M:%S")), "epoch": D.to_datetime(F.unix_micros(ts), "us", numeric=True)}
     made |= {"there": D.tz_convert(ts, "America/New_York"), "back": D.tz_localize(F.col("ts"), "Europe/Berlin")}
     plain = ("p_normalize", "low", "top", "near", "parsed", "epoch", "there", "back")
     return f.df.select("user_id", "ts", "event_id", *((c.cast("timestamp_ntz") if n in plain else c).alias(n) for n, c in made.items()))

@@ -47,7 +47,7 @@ def strftime(c: Column, form: str) -> Column:
 
 
 def grid(c: Column, freq: str, how: str) -> Column:
-    """floor, ceil or round (half to even) to a multiple of D, h, min, s, ms or us."""
+    """floor, ceil, round (half to even) or away (the nearest, half away from 1970, as SQL's round) to a multiple of D, h, min, s, ms or us."""
     m = re.fullmatch(r"(\d*)\s*(D|d|h|H|min|s|ms|us|ns)", freq)
     if not m:
         raise ValueError(f"{freq} is no frequency")
@@ -59,9 +59,9 @@ def grid(c: Column, freq: str, how: str) -> Column:
     low = micros - rest
     if how == "ceil":
         low = F.when(rest > 0, low + step).otherwise(low)
-    elif how == "round":
-        odd = F.pmod(F.floor(low / step), F.lit(2)) == 1
-        low = F.when((2 * rest > step) | ((2 * rest == step) & odd), low + step).otherwise(low)
+    elif how in ("round", "away"):
+        up = F.pmod(F.floor(low / step), F.lit(2)) == 1 if how == "round" else micros > 0
+        low = F.when((2 * rest > step) | ((2 * rest == step) & up), low + step).otherwise(low)
     return F.timestamp_micros(low)
 
 
@@ -78,8 +78,11 @@ def to_datetime(c: Column, unit: str = "ns", form: str | None = None, numeric: b
 
 
 def tz_localize(c: Column, tz: str) -> Column:
-    """The instant of a wall clock time in a zone."""
-    return F.to_utc_timestamp(c.cast("timestamp"), tz)
+    """The instant of a wall clock time in a zone. A time that clocks skip has the offset after the skip, one they show twice the first."""
+    c = c.cast("timestamp")
+    at = F.to_utc_timestamp(c, tz)
+    skipped = F.unix_micros(F.from_utc_timestamp(at, tz)) - F.unix_micros(c)
+    return F.timestamp_micros(F.unix_micros(at) - skipped)
 
 
 def tz_convert(c: Column, tz: str) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import datetimes
 from barloom.operators.frame import BarFrame
 from barloom.queries import QUERIES, SQL
 
@@ -63,3 +64,20 @@ def test_ewm_sum_of_long_series(spark, ignore_na):
     for alpha in (0.3, 0.01):
         want = pd.Series(values, dtype=float).ewm(alpha=alpha, ignore_na=ignore_na).sum().tolist()
         same(column(frame.ewm("sum", ["v"], alpha=alpha, ignore_na=ignore_na), "v"), want)
+
+
+def test_times_on_ties_of_the_grid(differences):
+    ties = [AT + dt.timedelta(seconds=5 * i, microseconds=d) for i in range(8) for d in (-1, 0, 1)]
+    assert differences("datetime_more", [(1, ts, 1.0) for ts in ties]) == [[], []]
+
+
+def test_times_about_changes_of_clocks(differences):
+    changes = [dt.datetime(2024, 3, 10, 7), dt.datetime(2024, 3, 31, 2), dt.datetime(2024, 10, 27, 2), dt.datetime(2024, 11, 3, 6)]
+    times = [c + dt.timedelta(minutes=15 * i, microseconds=d) for c in changes for i in range(-6, 8) for d in (-1, 0)]
+    assert differences("datetime_more", [(1, ts, 1.0) for ts in times]) == [[], []]
+
+
+@pytest.mark.parametrize(("how", "want"), [("round", ["1969-12-31 23:59:40", "1970-01-01 00:00:00", "1970-01-01 00:00:00", "1970-01-01 00:00:20"]), ("away", ["1969-12-31 23:59:40", "1969-12-31 23:59:50", "1970-01-01 00:00:10", "1970-01-01 00:00:20"])])
+def test_grid_of_ties(spark, how, want):
+    made = spark.createDataFrame([(i, x * 1_000_000) for i, x in enumerate((-15, -5, 5, 15))], "i int, us long").orderBy("i").select(datetimes.grid(F.timestamp_micros("us"), "10s", how).cast("string")).collect()
+    assert [x for x, in made] == want
