@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that a Python worker hands over at once, about.
+HANDED_BYTES = 4 << 20
 #: Rows of a key table that may be broadcast. At up to 32 bytes a key this is at most 16 MB.
 BROADCAST_ROWS = 500_000
 
@@ -43,6 +47,32 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Give the system back what this process has freed but its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run, *caches):
+    """run, a function for mapInArrow, with large batches handed over in pieces. Spark keeps a task's worker for later
+    ones, so at the end each of caches is called to empty what it names, and freed memory goes back to the system."""
+
+    def whole(batches):
+        try:
+            for batch in run(batches):
+                step = max(1, batch.num_rows * HANDED_BYTES // max(1, batch.nbytes))
+                for at in range(0, max(1, batch.num_rows), step):
+                    yield batch.slice(at, step)
+                del batch
+        finally:
+            for empty in caches:
+                empty()
+            release()
+
+    return whole
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has no more than limit rows; it counts at most one more."""
     return df.limit(limit + 1).count() <= limit

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of
+from .common import lean, scratch, text_of
 
 #: Words an automaton holds. A larger benchmark is cut at items into several, used one after another from the shared folder.
 AUTOMATON_WORDS = 200_000
@@ -277,7 +277,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_co
             part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
             yield part.filter(pa.array([i not in dropped for i in range(len(texts))]))
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(lean(clean), schema)
 
 
 def items_digest(items):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import left_join_groups, maybe_broadcast, small, text_of, written
+from .common import lean, left_join_groups, maybe_broadcast, small, text_of, written
 from .components import connected_components
 
 #: A list up to this long makes all its pairs at once.
@@ -177,7 +177,7 @@ def _nodes(rows: DataFrame, n: int) -> DataFrame:
                     sketches.append(sketch_of(grams) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["_id", "n_shingles", "node", "sketch"])
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, n_shingles long, node long, sketch binary")
+    return rows.mapInArrow(lean(run), f"_id {rows.schema['_id'].dataType.simpleString()}, n_shingles long, node long, sketch binary")
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -215,7 +215,10 @@ def _frequent(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarr
         held, size = [], 0
 
         def flush():
-            values, times = _runs(np.sort(np.concatenate(held)))
+            all_ = np.concatenate(held)
+            held.clear()  # not twice in memory
+            all_.sort()
+            values, times = _runs(all_)
             cuts = np.searchsorted(values, np.arange(1, buckets, dtype="u8") * np.uint64(width))
             parts = [(k, v, t - 1) for k, (v, t) in enumerate(zip(np.split(values, cuts), np.split(times, cuts), strict=True)) if len(v)]
             columns = [_pack(v) for _, v, _ in parts], [_pack(v[t > 0]) for _, v, t in parts], [_pack(np.cumsum(t[t > 0], dtype="u4")) for _, _, t in parts]
@@ -242,7 +245,7 @@ def _frequent(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarr
         levels = [int(x) for x in np.unique(level)]
         return pa.table({"level": pa.array(levels, pa.int32()), "n": pa.array([int((level == x).sum()) for x in levels], pa.int64()), "grams": pa.array([found[level == x].astype("<u4").tobytes() for x in levels], pa.binary())})
 
-    counted = written(rows.mapInArrow(deal, "bucket int, blob binary, again binary, times binary").groupBy("bucket").applyInArrow(count, "level int, n long, grams binary"), "frequent")
+    counted = written(rows.mapInArrow(lean(deal), "bucket int, blob binary, again binary, times binary").groupBy("bucket").applyInArrow(count, "level int, n long, grams binary"), "frequent")
     room, least = MAX_FREQUENT, 99
     for level, m in counted.groupBy("level").agg(F.sum("n")).orderBy(F.desc("level")).collect():
         if m > room:
@@ -298,6 +301,8 @@ def _short_lists(rows: DataFrame, n: int, percent: int, total: int, frequent) ->
 
         def flush():
             all_, level = np.concatenate(held), np.concatenate(levels)
+            held.clear()
+            levels.clear()
             bucket = (all_["gram"] % np.uint64(buckets)).astype("i4")
             hot = np.flatnonzero(level >= HOT_LEVEL)
             if len(hot):
@@ -358,7 +363,7 @@ def _short_lists(rows: DataFrame, n: int, percent: int, total: int, frequent) ->
             "size": pa.concat_arrays([none, pa.array(long["size"].astype("i8"))]),
         })
 
-    return written(rows.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, "a long, b long, gram long, size long"), "short-lists")
+    return written(rows.mapInArrow(lean(deal), "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, "a long, b long, gram long, size long"), "short-lists")
 
 
 def _plausible(first: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -374,7 +379,7 @@ def _plausible(first: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     x = first.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
     y = first.select(F.col("node").alias("b"), F.col("size").alias("k"), F.col("sketch").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "x", "k", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "x", "k", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _across(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
@@ -434,7 +439,7 @@ def _across(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long")
 
 
 def _probe(rows: DataFrame, first: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -451,7 +456,7 @@ def _probe(rows: DataFrame, first: DataFrame, pairs: DataFrame, n: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "grams"])
 
     # one text a node; an id that several texts have brings in others, which hold drops
-    sets = rows.withColumn("_key", F.xxhash64("_id")).join(maybe_broadcast(wanted), "_key").select("_node", "_text").mapInArrow(hold, "node long, grams binary")
+    sets = rows.withColumn("_key", F.xxhash64("_id")).join(maybe_broadcast(wanted), "_key").select("_node", "_text").mapInArrow(lean(hold), "node long, grams binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
 
     def probe(batches):
@@ -466,7 +471,7 @@ def _probe(rows: DataFrame, first: DataFrame, pairs: DataFrame, n: int, percent:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"), "links")
+    return written(joined.select("a", "b", "x", "y").mapInArrow(lean(probe), "a long, b long"), "links")
 
 
 def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

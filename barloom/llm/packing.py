@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
-from .tokens import chunks, default_vocabulary
+from .common import lean, text_of, written
+from .tokens import chunks, default_vocabulary, forget
 
 #: Rows of a range that one task sweeps, about.
 PART_ROWS = 200_000
@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_co
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(cut, functools.partial(forget, path)), PIECES)
 
 
 _EVENT = "kind int, size int, tie long, item {item}, seq long, offset long, part int, pos long, level long"
@@ -106,7 +106,7 @@ def _sweep(events: DataFrame, most: int, capacity: int, parts: int) -> DataFrame
             names=NAMES,
         )
 
-    return sorted_.select("kind", "size", "tie", "item", F.coalesce("seq", F.lit(-1)).alias("seq")).mapInArrow(run, schema)
+    return sorted_.select("kind", "size", "tie", "item", F.coalesce("seq", F.lit(-1)).alias("seq")).mapInArrow(lean(run), schema)
 
 
 def _across(swept: DataFrame, capacity: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_of
+from .common import free_name, lean, text_of
 from .labels import MAX_TRAIN, held_out, training_rows
 
 PAIRS = 40_000
@@ -81,10 +81,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
 
     def measure(batches):
         for batch in batches:
-            x = [features(t).tolist() for t in batch.column(0).to_pylist()]
+            x = [features(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = training_rows(docs, labels, label_col, FOLDS, FOLD, max_train=max_train, id_col=id_col, text_col=text_col).mapInArrow(measure, "x array<double>, y int").collect()
+    rows = training_rows(docs, labels, label_col, FOLDS, FOLD, max_train=max_train, id_col=id_col, text_col=text_col).mapInArrow(lean(measure), "x array<double>, y int").collect()
     rows.sort()  # tasks end in any order
     width = len(features(""))
     return Ranker(np.array([r[0] for r in rows]).reshape(len(rows), width), np.array([r[1] for r in rows]))
@@ -102,7 +102,7 @@ def score_quality(docs: DataFrame, model: Ranker, *, text_col: str = "text", out
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return rows.mapInArrow(score, f"{schema}, `{out_col}` double")
+    return rows.mapInArrow(lean(score), f"{schema}, `{out_col}` double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,11 +3,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barloom.llm import packing
+from barloom.llm import common, packing
 from barloom.llm.packing import best_fit_pack, pack_documents
 from barloom.llm.tokens import chunks, default_vocabulary
 from barloom.llm.training_order import feistel, read_training_order, write_training_order
@@ -139,3 +140,24 @@ def test_training_order_round_trip(spark, documents):
     order = [r["slot"] for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["piece"]))]
     assert order != sorted(order)
     assert read_training_order(write_training_order(documents([]))).collect() == []
+
+
+def test_workers_keep_no_chunks_after_a_task(spark, documents):
+    path = default_vocabulary()
+
+    def cached(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(chunks(path))] * batch.num_rows, pa.int64())})
+
+    table = documents([(i, " ".join(f"w{i}x{k}" for k in range(200))) for i in range(40)], partitions=4)
+    for run in (lambda: packing.token_pieces(table, 64),):
+        assert run().collect()
+        assert {r.n for r in spark.range(0, 16, 1, 8).mapInArrow(cached, "n long").collect()} == {0}
+
+
+def test_large_batches_are_handed_over_in_pieces():
+    whole = pa.RecordBatch.from_pydict({"x": [f"{i:02}" * 50_000 for i in range(100)], "n": range(100)})
+    emptied = []
+    out = list(common.lean(iter, lambda: emptied.append(len(emptied)))([whole, whole.slice(0, 0)]))
+    assert len(out) > 2 and max(b.nbytes for b in out) <= common.HANDED_BYTES
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches([whole])) and emptied == [0]
