@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import placed, remove, scratch, text_of, written
-from .tokens import chunks, default_vocabulary
+from .common import lean, placed, remove, scratch, text_of, written
+from .tokens import chunks, default_vocabulary, forget
 
 #: A record's head: doc_id, piece, how many ids, whether doc_id is null. The ids follow as 16-bit numbers, padded with zeros.
 HEAD = (("doc_id", "<i8"), ("piece", "<i4"), ("n", "<u2"), ("null", "<u2"))
@@ -124,7 +125,7 @@ def _sequences(rows: DataFrame, seq_len: int, path: str) -> DataFrame:
         if size:
             yield flush()
 
-    return rows.mapInArrow(cut, "file string, block long, before long, n int, blob binary")
+    return rows.mapInArrow(lean(cut, functools.partial(forget, path)), "file string, block long, before long, n int, blob binary")
 
 
 def write_training_order(docs: DataFrame, folder: str | None = None, *, seq_len: int = 256, key: int = 20240101, rows_per_shard: int = 16_384, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -224,9 +225,9 @@ def write_training_order(docs: DataFrame, folder: str | None = None, *, seq_len:
 
     shards = max(1, -(-total // rows_per_shard))
     tasks = min(shards, 20_000)
-    dealt = staged.select(run, "before", "n", "blob").mapInArrow(deal, "shard int, slots binary, blob binary")
+    dealt = staged.select(run, "before", "n", "blob").mapInArrow(lean(deal), "shard int, slots binary, blob binary")
     dealt = dealt.repartitionById(tasks, (F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
-    manifest = written(dealt.mapInArrow(write, MANIFEST), "shards")
+    manifest = written(dealt.mapInArrow(lean(write), MANIFEST), "shards")
     remove(spark, staging)
     return manifest
 
@@ -257,4 +258,4 @@ def read_training_order(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
                             names=[x.split()[0] for x in RECORD.split(", ")],
                         )
 
-    return rows.repartition(min(n, 10_000)).mapInArrow(read, RECORD)
+    return rows.repartition(min(n, 10_000)).mapInArrow(lean(read), RECORD)

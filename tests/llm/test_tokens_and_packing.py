@@ -150,7 +150,7 @@ def test_workers_keep_no_chunks_after_a_task(spark, documents):
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(chunks(path))] * batch.num_rows, pa.int64())})
 
     table = documents([(i, " ".join(f"w{i}x{k}" for k in range(200))) for i in range(40)], partitions=4)
-    for run in (lambda: packing.token_pieces(table, 64),):
+    for run in (lambda: packing.token_pieces(table, 64), lambda: write_training_order(table, seq_len=16, rows_per_shard=50)):
         assert run().collect()
         assert {r.n for r in spark.range(0, 16, 1, 8).mapInArrow(cached, "n long").collect()} == {0}
 
